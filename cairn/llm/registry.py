@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from .near_dedup import op7_minhash_near_dedup
 from .substring_dedup import op10_substring_dedup
 from .suffix_dedup import op9_suffix_dedup
 
-QUERIES = {f.__name__: f for f in (op9_suffix_dedup, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op7_minhash_near_dedup, op9_suffix_dedup, op10_substring_dedup)}
 
 ORACLE: dict[str, str] = {}

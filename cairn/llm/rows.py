@@ -13,12 +13,13 @@ def keyed(docs: DataFrame) -> DataFrame:
 
     Other columns are left behind, so none of theirs can clash. A null doc_id
     orders before all others. Rows with equal doc_id and text share an identity
-    and so a result; rows with equal doc_id and different texts stay apart.
+    and so a result; rows with equal doc_id and different texts stay apart by
+    the 32-bit hash of the text.
     """
     doc_id = F.col("doc_id").cast("long")
     return docs.select(
         doc_id.alias("doc_id"),
         F.col("text").cast("string").alias("text"),
         F.coalesce(doc_id, F.lit(NO_ID)).alias("did"),
-        F.xxhash64(doc_id, F.col("text")).alias("tkey"),
+        F.hash("text").alias("tkey"),
     )
