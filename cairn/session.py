@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,3 +60,17 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     path = f"{scratch_root(spark)}/cairn-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each Spark application."""
+    context = spark.sparkContext
+    if getattr(context, "_cairn_shipped", False):
+        return
+    home = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="cairn-ship-")) / "cairn.zip"
+    with zipfile.ZipFile(path, "w") as archive:
+        for file in sorted(home.rglob("*.py")):
+            archive.write(file, f"{home.name}/{file.relative_to(home)}")
+    context.addPyFile(str(path))
+    context._cairn_shipped = True
