@@ -10,10 +10,11 @@ that the two share one of each other's ``size - need + 1`` rarest values; only
 those are put on inverted lists.
 
 * Lists of up to ``list_limit`` documents generate all their pairs.
-* Longer lists elect a centre, the member whose sketch values are the most common.
-  Every member is compared with the centre; members that do not link to it are
-  then compared with the whole list. Members that do link need no pairs among
-  themselves: they are one component already.
+* Longer lists elect a centre, the member with the most exact copies, and
+  every member is compared with it. Members that link to it need no
+  pairs among themselves: they are one component already. The others elect the
+  next centre, for ``rounds`` rounds. Whatever a list then still holds outside
+  its main component is compared with the whole list, block by block.
 
 Pairs survive if a bound on the overlap of their sketches leaves the threshold
 within reach, which bit sets of the sketches give inside the join itself; links
@@ -48,6 +49,9 @@ class Setting:
     percent: int = 80
     k: int = 64
     list_limit: int = 48
+    rounds: int = 2
+    query_block: int = 128
+    member_block: int = 512
 
     def need(self, n: int) -> int:
         """Sketch values that two linked documents share at least, for a sketch of n values."""
@@ -112,13 +116,8 @@ def full_sets(rows: DataFrame, s: Setting) -> DataFrame:
     return rows.select("did", "tkey", "text").mapInArrow(scan, "did long, tkey int, items binary")
 
 
-def candidates(heads: DataFrame, s: Setting) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pairs of heads that may be linked, and what long lists leave to do.
-
-    Returns (pairs, tried, posted): pairs a < b, each once; tried, the members
-    v, id1, n1, bits1 of long lists with their centre id2; posted, all list
-    entries v, id, n, bits.
-    """
+def candidates(heads: DataFrame, s: Setting) -> tuple[DataFrame, DataFrame]:
+    """(pairs, long): pairs a < b of heads that short lists generate, and the entries v, id, n, bits of long lists."""
     values = heads.select("id", F.explode("sketch").alias("v"))
     sizes = materialize(values.groupBy("v").agg(F.count("*").alias("docs")).where("docs > 1"), "sizes")
     # A value of one document links nothing, so it is enough to know how many there are: those are the rarest.
@@ -127,21 +126,18 @@ def candidates(heads: DataFrame, s: Setting) -> tuple[DataFrame, DataFrame, Data
     need = F.element_at(F.array(*[F.lit(s.need(n)) for n in range(1, s.k + 1)]), F.col("size"))
     singles = F.col("size") - F.size("shared")
     room = F.col("size") - need + 1 - singles
-    fame = F.aggregate("shared", F.lit(0).cast("long"), lambda total, x: total + x["docs"])
-    posted = shared.where(room > 0).select("id", "n", "bits", fame.alias("fame"), F.explode(F.slice("shared", F.lit(1), room)).alias("x"))
-    posted = materialize(posted.select(F.col("x.v").alias("v"), "id", "n", "bits", "fame"), "posted")
-    lengths = posted.groupBy("v").agg(F.count("*").alias("length"), F.max_by("id", F.struct("fame", F.negate("id"))).alias("id2")).where("length > 1")
-    lengths = materialize(lengths, "lengths")
-
-    short = materialize(posted.drop("fame").join(lengths.where(F.col("length") <= s.list_limit), "v", "left_semi"), "short")
-    left, right = (short.select(*[F.col(c).alias(f"{c}{i}") for c in ("v", "id", "n", "bits")]) for i in (1, 2))
+    posted = shared.where(room > 0).select("id", "n", "bits", F.explode(F.slice("shared", F.lit(1), room)).alias("x"))
+    posted = materialize(posted.select(F.col("x.v").alias("v"), "id", "n", "bits"), "posted")
+    lengths = materialize(posted.groupBy("v").agg(F.count("*").alias("length")).where("length > 1"), "lengths")
+    short = materialize(posted.join(lengths.where(F.col("length") <= s.list_limit), "v", "left_semi"), "short")
+    left, right = _side(short, 1), _side(short, 2)
     pairs = left.join(right, (F.col("v1") == F.col("v2")) & (F.col("id1") < F.col("id2")) & _may_link(s)).select(F.col("id1").alias("a"), F.col("id2").alias("b"))
+    long = posted.join(lengths.where(F.col("length") > s.list_limit), "v", "left_semi")
+    return materialize(pairs.distinct(), "pairs"), materialize(long, "long")
+
 
-    tried = posted.join(lengths.where(F.col("length") > s.list_limit).select("v", "id2"), "v").where("id != id2")
-    tried = materialize(tried.select("v", F.col("id").alias("id1"), F.col("n").alias("n1"), F.col("bits").alias("bits1"), "id2"), "tried")
-    central = tried.select("id1", "n1", "bits1", "id2").distinct().join(heads.select(F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("bits").alias("bits2")), "id2")
-    central = central.where(_may_link(s)).select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"))
-    return materialize(pairs.union(central).distinct(), "pairs"), tried, posted
+def _side(entries: DataFrame, i: int) -> DataFrame:
+    return entries.select(*[F.col(c).alias(f"{c}{i}") for c in ("v", "id", "n", "bits")])
 
 
 def _may_link(s: Setting):
@@ -160,26 +156,30 @@ def _may_link(s: Setting):
     return (small * 100 >= large * s.percent) & (most(1, 2) >= need) & (most(2, 1) >= need)
 
 
-def confirmed(rows: DataFrame, heads: DataFrame, pairs: DataFrame, s: Setting) -> DataFrame:
-    """``a, b, linked``: each pair, judged on the full sets. heads: id, did, tkey."""
-    wanted = materialize(heads.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").select("id", "did", "tkey"), "wanted")
-    ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    sets = full_sets(rows.join(ids.select("did", "tkey"), ["did", "tkey"], "left_semi").dropDuplicates(["did", "tkey"]), s)
-    sets = materialize(sets.join(wanted, ["did", "tkey"]).select("id", "items"), "sets")
+def sets_of(rows: DataFrame, heads: DataFrame, ids: DataFrame, s: Setting) -> DataFrame:
+    """``id, items``: full sets of the heads in ids(id), by one scan of the texts."""
+    wanted = materialize(heads.join(ids.distinct(), "id", "left_semi").select("id", "did", "tkey"), "wanted")
+    keys = wanted.select("did", "tkey")
+    keys = F.broadcast(keys) if wanted.count() <= BROADCAST_IDS else keys
+    sets = full_sets(rows.join(keys, ["did", "tkey"], "left_semi").dropDuplicates(["did", "tkey"]), s)
+    return materialize(sets.join(wanted, ["did", "tkey"]).select("id", "items"), "sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, s: Setting) -> DataFrame:
+    """``a, b, linked``: each pair, judged on the full sets."""
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
 
     @F.pandas_udf("boolean")
     def linked(x: pd.Series, y: pd.Series) -> pd.Series:
         out = []
         for one, two in zip(x, y, strict=True):
-            one, two = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
-            joint = np.concatenate((one, two))
+            joint = np.concatenate((np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)))
             joint.sort()
             common = int(np.count_nonzero(joint[1:] == joint[:-1]))
             out.append(100 * common >= s.percent * (len(joint) - common))
         return pd.Series(out, dtype=bool)
 
-    return both.select("a", "b", linked("x", "y").alias("linked"))
+    return materialize(both.select("a", "b", linked("x", "y").alias("linked")), "judged")
 
 
 def near_dedup(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
@@ -201,8 +201,8 @@ def near_dedup(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
     made = materialize(sketches(rows, s), "sketches")
     alone = made.where("n = 0")
     group = ["n", "d1", "d2"]
-    heads = made.where("n > 0").groupBy(*group).agg(F.min(F.struct("did", "tkey", "bits", "sketch")).alias("h"))
-    heads = materialize(heads.select(*group, "h.*").withColumn("id", F.col("did")), "heads")
+    heads = made.where("n > 0").groupBy(*group).agg(F.count("*").alias("copies"), F.min(F.struct("did", "tkey", "bits", "sketch")).alias("h"))
+    heads = materialize(heads.select(*group, "copies", "h.*").withColumn("id", F.col("did")), "heads")
     links = _links(rows, heads, s)
     component = connected_components(links, heads.select("id"))
     named = materialize(heads.join(component, "id").select(*group, "component"), "named")
@@ -215,20 +215,78 @@ def near_dedup(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
 
 def _links(rows: DataFrame, heads: DataFrame, s: Setting) -> DataFrame:
     """``a, b``: confirmed links between heads, enough of them to join all that are linked."""
-    pairs, tried, posted = candidates(heads, s)
-    known = materialize(confirmed(rows, heads, pairs, s), "links")
+    pairs, long = candidates(heads, s)
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(long.select("id"))
+    sets = sets_of(rows, heads, ids, s)
+    known = confirmed(pairs, sets, s)
+    waiting = not long.isEmpty()
+    if waiting:
+        long = materialize(long.join(heads.select("id", "copies"), "id"), "long")
+    open_ = long
+    for _ in range(s.rounds):
+        if not waiting:
+            break
+        # Members without a link to a centre so far elect the next one of their list; all members meet it.
+        centre = open_.groupBy("v").agg(F.max_by(F.struct("id", "n", "bits"), F.struct("copies", F.negate("id"))).alias("c"))
+        centre = materialize(_side(centre.select("v", "c.*"), 2), "centre")
+        meet = _side(long, 1).join(centre, (F.col("v1") == F.col("v2")) & (F.col("id1") != F.col("id2")) & _may_link(s))
+        known = known.union(confirmed(_untried(meet, known), sets, s))
+        linked = known.where("linked").select(F.col("a").alias("id"), F.col("b").alias("id2"))
+        linked = linked.union(linked.select("id2", "id"))
+        open_ = open_.join(centre.select(F.col("v2").alias("v"), "id2"), "v").where("id != id2").join(linked, ["id", "id2"], "left_anti").select(*long.columns)
+        open_ = materialize(open_, "open")
+        waiting = not open_.isEmpty()
     links = known.where("linked").select("a", "b")
-    # Members of a long list without a link to its centre meet the whole list.
-    linked = links.select(F.col("a").alias("id1"), F.col("b").alias("id2")).union(links.select("b", "a"))
-    rest = materialize(tried.join(linked, ["id1", "id2"], "left_anti").select(F.col("v").alias("v1"), "id1", "n1", "bits1"), "rest")
-    if rest.isEmpty():
+    if not waiting:
         return links
-    members = posted.join(rest.select(F.col("v1").alias("v")).distinct(), "v", "left_semi")
-    members = materialize(members.select(*[F.col(c).alias(f"{c}2") for c in ("v", "id", "n", "bits")]), "members")
-    more = rest.join(members, (F.col("v1") == F.col("v2")) & (F.col("id1") != F.col("id2")) & _may_link(s))
-    more = more.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct().join(known, ["a", "b"], "left_anti")
-    more = materialize(more, "more")
-    return links.union(materialize(confirmed(rows, heads, more, s), "morelinks").where("linked").select("a", "b"))
+    # What the centres of a list have joined is one component; the members outside of it meet the whole list.
+    members = materialize(long.select("v", "id").join(connected_components(links, long.select("id")), "id"), "members")
+    most = members.groupBy("v", "component").agg(F.count("*").alias("size")).groupBy("v").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
+    members = materialize(members.join(most, "v").select("main", "id", "component").distinct(), "members")
+    return links.union(blockwise_links(members.where("component != main"), members, sets, s))
+
+
+def blockwise_links(queries: DataFrame, members: DataFrame, sets: DataFrame, s: Setting) -> DataFrame:
+    """``a, b``: links from queries to members of the same main(main, id, component), one for each component that a query reaches.
+
+    Both sides are dealt into blocks, and each block of queries meets each
+    block of members in a task of its own, so a task holds a bounded number of
+    sets whatever the size of a list; only links are returned.
+    """
+    both = [queries.groupBy("main").agg(F.ceil(F.count("*") / s.query_block).alias("xs")), members.groupBy("main").agg(F.ceil(F.count("*") / s.member_block).alias("ys"))]
+    blocks_of = materialize(both[0].join(both[1], "main"), "blocks")
+
+    def side(part: DataFrame, own: str, size: str, other: str, count: str) -> DataFrame:
+        dealt = part.join(blocks_of, "main").withColumn(own, F.pmod(F.xxhash64("id"), F.col(size)))
+        return dealt.join(sets, "id").select("main", own, F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1)).alias(other), "id", "component", "items")
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        x = [np.frombuffer(i, np.uint64) for i in left["items"]]
+        size = np.array([len(i) for i in x])
+        items, owner = np.concatenate([*x, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(x)), size)
+        order = np.argsort(items, kind="stable")
+        items, owner, component = items[order], owner[order], left["component"].to_numpy()
+        found: dict[tuple[int, int], int] = {}
+        for i, c, y in zip(right["m_id"], right["m_component"], (np.frombuffer(y, np.uint64) for y in right["m_items"]), strict=True):
+            low, high = np.searchsorted(items, y, "left"), np.searchsorted(items, y, "right")
+            n = high - low
+            at = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else np.zeros(0, int)
+            common = np.bincount(owner[at], minlength=len(x))
+            for k in np.flatnonzero((100 * common >= s.percent * (size + len(y) - common)) & (component != c)):
+                found[int(k), int(c)] = min(int(i), found.get((int(k), int(c)), int(i)))
+        ids = left["id"].to_numpy()
+        pairs = sorted({(min(int(ids[k]), i), max(int(ids[k]), i)) for (k, _), i in found.items()})
+        return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
+
+    left, right = side(queries, "x", "xs", "y", "ys"), side(members, "y", "ys", "x", "xs")
+    right = right.select(*[F.col(c).alias(f"m_{c}") for c in right.columns])
+    return materialize(left.groupBy("main", "x", "y").cogroup(right.groupBy("m_main", "m_x", "m_y")).applyInPandas(compare, "a long, b long").distinct(), "blocklinks")
+
+
+def _untried(meet: DataFrame, known: DataFrame) -> DataFrame:
+    """Distinct pairs a < b of meet(id1, id2) that have not been judged yet."""
+    pairs = meet.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
+    return materialize(pairs.join(known, ["a", "b"], "left_anti"), "untried")
 
 
 #: The query's contract: shingles of two words.

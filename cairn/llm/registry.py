@@ -2,10 +2,31 @@
 
 from __future__ import annotations
 
+from . import decontaminate, line_dedup
+from .decontaminate import op1_benchmark_decontamination
+from .language_id import op3_language_id
+from .line_dedup import op6_line_dedup
+from .mixing import op2_mix_sources
 from .near_dedup import op7_minhash_near_dedup
+from .quality_rules import op5_quality_rules
 from .substring_dedup import op10_substring_dedup
 from .suffix_dedup import op9_suffix_dedup
 
-QUERIES = {f.__name__: f for f in (op7_minhash_near_dedup, op9_suffix_dedup, op10_substring_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_benchmark_decontamination,
+        op2_mix_sources,
+        op3_language_id,
+        op5_quality_rules,
+        op6_line_dedup,
+        op7_minhash_near_dedup,
+        op9_suffix_dedup,
+        op10_substring_dedup,
+    )
+}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_benchmark_decontamination": decontaminate.ORACLE,
+    "op6_line_dedup": line_dedup.ORACLE,
+}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 NO_ID = -(2**63)
 
 
@@ -16,6 +18,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     and so a result; rows with equal doc_id and different texts stay apart by
     the 32-bit hash of the text.
     """
+    ship(docs.sparkSession)
     doc_id = F.col("doc_id").cast("long")
     return docs.select(
         doc_id.alias("doc_id"),
