@@ -8,6 +8,7 @@ from .language_id import op3_language_id
 from .line_dedup import op6_line_dedup
 from .mixing import op2_mix_sources
 from .near_dedup import op7_minhash_near_dedup
+from .pii import op8_pii_surrogates
 from .quality_rules import op5_quality_rules
 from .substring_dedup import op10_substring_dedup
 from .suffix_dedup import op9_suffix_dedup
@@ -21,6 +22,7 @@ QUERIES = {
         op5_quality_rules,
         op6_line_dedup,
         op7_minhash_near_dedup,
+        op8_pii_surrogates,
         op9_suffix_dedup,
         op10_substring_dedup,
     )
