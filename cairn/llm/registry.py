@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup
+from . import chat_format, decontaminate, line_dedup
+from .chat_format import op4_chat_format
 from .decontaminate import op1_benchmark_decontamination
 from .language_id import op3_language_id
 from .line_dedup import op6_line_dedup
@@ -19,6 +20,7 @@ QUERIES = {
         op1_benchmark_decontamination,
         op2_mix_sources,
         op3_language_id,
+        op4_chat_format,
         op5_quality_rules,
         op6_line_dedup,
         op7_minhash_near_dedup,
@@ -30,5 +32,6 @@ QUERIES = {
 
 ORACLE: dict[str, str] = {
     "op1_benchmark_decontamination": decontaminate.ORACLE,
+    "op4_chat_format": chat_format.ORACLE,
     "op6_line_dedup": line_dedup.ORACLE,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -10,6 +10,11 @@ from ..session import ship
 NO_ID = -(2**63)
 
 
+def identity() -> list[Column]:
+    """``did, tkey`` of a row with doc_id and text, never null."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.hash(F.col("text").cast("string")).alias("tkey")]
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """``doc_id, text`` plus a non-null identity ``(did, tkey)`` for internal joins.
 
@@ -23,6 +28,5 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(
         doc_id.alias("doc_id"),
         F.col("text").cast("string").alias("text"),
-        F.coalesce(doc_id, F.lit(NO_ID)).alias("did"),
-        F.hash("text").alias("tkey"),
+        *identity(),
     )
