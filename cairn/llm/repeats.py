@@ -7,7 +7,7 @@ levels shrink that, without losing a window:
    the grams of ``gram`` symbols inside it. Equal windows pick the same gram at
    the same offset, so a window whose anchor occurs once in the corpus is
    unique. Neighbouring windows mostly share an anchor: they form a *run*.
-2. *Runs.* Runs whose whole covered content is equal (128-bit hash) have equal
+2. *Runs.* Runs whose whole covered content is equal (96-bit hash) have equal
    windows throughout. One run of each such class, the first in the corpus,
    stands for the class: it is the indexed reference.
 3. *Borders.* Where runs share an anchor but not their content, a repeated
@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, release
 from .textkernel import MAX, Block, as_long, base, blocks, mix, word_hashes, words
 
-RUN_SCHEMA = "did long, tkey int, anchor long, k1 long, k2 long, pos int, n int"
+RUN_SCHEMA = "did long, tkey int, anchor long, k1 long, k2 int, pos int, n int"
 
 
 def byte_symbols(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,6 +108,10 @@ def _int(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.int32), pa.int32())
 
 
+def _low(x: np.ndarray) -> pa.Array:
+    return pa.array(x.astype(np.uint32).view(np.int32), pa.int32())
+
+
 def run_rows(docs: DataFrame, shape: Shape) -> DataFrame:
     """One row for each run of each document."""
 
@@ -118,7 +122,7 @@ def run_rows(docs: DataFrame, shape: Shape) -> DataFrame:
                 row, anchor, k1, k2, pos, n = shape.runs(block)
                 if len(row):
                     row = row + block.first
-                    yield pa.RecordBatch.from_arrays([pa.array(did[row]), pa.array(tkey[row]), as_long(anchor), as_long(k1), as_long(k2), _int(pos), _int(n)], names=["did", "tkey", "anchor", "k1", "k2", "pos", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(did[row]), pa.array(tkey[row]), as_long(anchor), as_long(k1), _low(k2), _int(pos), _int(n)], names=["did", "tkey", "anchor", "k1", "k2", "pos", "n"])
 
     return docs.select("did", "tkey", "text").mapInArrow(scan, RUN_SCHEMA)
 
@@ -135,9 +139,9 @@ def window_rows(docs: DataFrame, shape: Shape) -> DataFrame:
                 counts = part.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
                 row, pos, w1, w2 = shape.windows(block, np.repeat(np.arange(len(counts)), counts), pos.astype(np.int64), n.astype(np.int64))
                 row = row + block.first
-                yield pa.RecordBatch.from_arrays([pa.array(did[row]), pa.array(tkey[row]), _int(pos), as_long(w1), as_long(w2)], names=["did", "tkey", "pos", "w1", "w2"])
+                yield pa.RecordBatch.from_arrays([pa.array(did[row]), pa.array(tkey[row]), _int(pos), as_long(w1), _low(w2)], names=["did", "tkey", "pos", "w1", "w2"])
 
-    return docs.select("did", "tkey", "text", "runs").mapInArrow(scan, "did long, tkey int, pos int, w1 long, w2 long")
+    return docs.select("did", "tkey", "text", "runs").mapInArrow(scan, "did long, tkey int, pos int, w1 long, w2 int")
 
 
 def repeated_spans(docs: DataFrame, shape: Shape, keep_first: bool) -> DataFrame:
@@ -150,6 +154,7 @@ def repeated_spans(docs: DataFrame, shape: Shape, keep_first: bool) -> DataFrame
     runs = materialize(run_rows(docs, shape), "runs")
     anchors = materialize(runs.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"), "anchors")
     shared = materialize(runs.join(anchors, "anchor", "left_semi"), "shared")
+    release(runs, anchors)
     place = F.struct("did", "tkey", "pos")
     classes = materialize(shared.groupBy("anchor", "k1", "k2").agg(F.count("*").alias("members"), F.min(place).alias("head"), F.min("n").alias("n")), "classes")
 
@@ -163,12 +168,14 @@ def repeated_spans(docs: DataFrame, shape: Shape, keep_first: bool) -> DataFrame
     border = classes.join(mixed, "anchor", "left_semi").select("head.*", "n")
     border = border.groupBy("did", "tkey").agg(F.sort_array(F.collect_list(F.struct("pos", "n"))).alias("runs"))
     single = materialize(window_rows(docs.join(border, ["did", "tkey"]), shape), "windows")
-    found = single.groupBy("w1", "w2").agg(F.count("*").alias("times"), F.min(place).alias("head")).where("times > 1").select("w1", "w2", "head")
+    times = F.count("*").alias("times")
+    found = single.groupBy("w1", "w2").agg(*[times, F.min(place).alias("head")] if keep_first else [times]).where("times > 1").drop("times")
     single = single.join(materialize(found, "found"), ["w1", "w2"])
     if keep_first:
         single = single.where(F.struct("did", "tkey", "pos") != F.col("head"))
-    single = single.select("did", "tkey", "pos", F.lit(shape.window).alias("len"))
-    return whole.unionByName(single)
+    spans = materialize(whole.unionByName(single.select("did", "tkey", "pos", F.lit(shape.window).alias("len"))), "spans")
+    release(shared, classes)
+    return spans
 
 
 def cut_spans(docs: DataFrame, spans: DataFrame, shape: Shape, join_with: bytes | None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .repeats import Shape, byte_symbols, cut_spans, repeated_spans
 from .rows import keyed
 
-LENGTH, GRAM = 400, 200
+LENGTH, GRAM = 400, 300
 
 
 def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
