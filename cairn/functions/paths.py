@@ -56,7 +56,7 @@ def ancestors(path: Column) -> Column:
 def human_size(size: Column) -> Column:
     out = F.concat(F.format_string("%.0f", size.cast("double")), F.lit("B"))
     for power, unit in ((1, "KB"), (2, "MB"), (3, "GB"), (4, "TB")):
-        out = F.when(size >= 1024**power, F.concat(F.format_string("%.1f", size.cast("double") / 1024**power), F.lit(unit))).otherwise(out)
+        out = F.when(size >= 1024**power, F.concat(F.format_string("%.1f", F.bround(size.cast("double") / 1024**power, 1)), F.lit(unit))).otherwise(out)
     return out
 
 

@@ -8,6 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.expr import let
 
 SIDE = 32
 
@@ -46,7 +49,7 @@ def signed(x: int) -> int:
 def pixel_hash(kind: str = "dhash", rotation: bool = False):
     """A pandas UDF over array<float> pixels with height and width: array of one 64-bit word, null if unreadable."""
 
-    @F.pandas_udf("array<bigint>")
+    @F.pandas_udf(T.ArrayType(T.LongType()))
     def run(pixels: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
         shape, bits = ((8, 9), dhash_bits) if kind == "dhash" else ((SIDE, SIDE), phash_bits)
 
@@ -65,7 +68,7 @@ def pixel_hash(kind: str = "dhash", rotation: bool = False):
 RATE, FRAME, HOP, PITCHES, SEGMENTS = 22_050, 4096, 2048, 12, 21
 
 
-@F.pandas_udf("array<bigint>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def chroma(samples: pd.Series) -> pd.Series:
     """256 bits of a mono signal: pitch classes of 21 segments against their median, padded; null if too short."""
 
@@ -89,7 +92,5 @@ def chroma(samples: pd.Series) -> pd.Series:
 
 def median_words(values: Column) -> Column:
     """64 numbers -> one word, bit i (from the top) set where value i is above the median; all in expressions."""
-    ordered = F.sort_array(values)
-    middle = (F.get(ordered, 31) + F.get(ordered, 32)) / 2
-    bits = F.transform(values, lambda v: F.when(v > middle, "1").otherwise("0"))
-    return F.array(F.conv(F.array_join(bits, ""), 2, -10).cast("long"))
+    middle = let(F.sort_array(values), lambda v: (F.get(v, 31) + F.get(v, 32)) / 2)
+    return let(middle, lambda m: F.array(F.conv(F.array_join(F.transform(values, lambda v: F.when(v > m, "1").otherwise("0")), ""), 2, -10).cast("long")))

@@ -10,6 +10,7 @@ import zipfile
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: What counts as a blank: Unicode blanks and the four separators that Java's class leaves out.
 BLANK = r"(?U)[\s\x{1c}-\x{1f}\x{85}\x{a0}]+"
@@ -22,7 +23,7 @@ def collapse(text: Column) -> Column:
     return F.when(out != "", out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")
 
@@ -92,7 +93,7 @@ def optional_text(data: bytes, ext: str) -> str | None:
         return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def extract_text(data: pd.Series, ext: pd.Series) -> pd.Series:
     """Text of a file by its extension; null where it has none or cannot be read."""
     from ..functions import fixed

@@ -9,10 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.paths import basename, extension
 
-ENTRY = "array<struct<name:string,size:bigint,crc:bigint>>"
+ENTRY = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("size", T.LongType()), T.StructField("crc", T.LongType())]))
 
 
 def file_tree(spark: SparkSession, roots: list[str]) -> DataFrame:
