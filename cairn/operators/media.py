@@ -32,8 +32,12 @@ def phash_bits(gray: np.ndarray) -> int:
 
 def resized(pixels: np.ndarray, rows: int, columns: int) -> np.ndarray:
     """Area means, for images that come larger."""
-    at = [np.linspace(0, size, parts + 1).astype(int) for size, parts in zip(pixels.shape, (rows, columns), strict=True)]
-    return np.array([[pixels[a : max(b, a + 1), c : max(d, c + 1)].mean() for c, d in zip(at[1], at[1][1:], strict=False)] for a, b in zip(at[0], at[0][1:], strict=False)])
+    sums = np.zeros((pixels.shape[0] + 1, pixels.shape[1] + 1))
+    sums[1:, 1:] = pixels.cumsum(0).cumsum(1)
+    edges = [np.linspace(0, size, parts + 1).astype(int) for size, parts in zip(pixels.shape, (rows, columns), strict=True)]
+    (top, left), (bottom, right) = zip(*[(e[:-1], np.maximum(e[1:], e[:-1] + 1)) for e in edges], strict=True)
+    area = np.outer(bottom - top, right - left)
+    return (sums[np.ix_(bottom, right)] - sums[np.ix_(top, right)] - sums[np.ix_(bottom, left)] + sums[np.ix_(top, left)]) / area
 
 
 def canonical(pixels: np.ndarray, bits) -> int:

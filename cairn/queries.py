@@ -299,7 +299,7 @@ def minhash_signatures(spark, sf_dir):
 
 BANDED = f"""{SIGS}, bands AS (SELECT doc_id, sig, k, sig[4 * k + 1:4 * k + 4] AS band FROM sig, range(16) AS r(k)),
 cand AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b, x.sig AS sa, y.sig AS sb FROM bands x JOIN bands y ON x.k = y.k AND x.band = y.band AND x.doc_id < y.doc_id),
-near AS (SELECT a, b, CAST(len(list_filter(range(1, 65), i -> sa[i] = sb[i])) AS INTEGER) AS equal FROM cand)"""
+near AS MATERIALIZED (SELECT a, b, CAST(len(list_filter(range(1, 65), lambda i: sa[i] = sb[i])) AS INTEGER) AS equal FROM cand)"""
 
 
 @query(f"{BANDED}, first AS (SELECT min(doc_id) AS id FROM sig GROUP BY sig) SELECT a, b FROM near WHERE equal < 64 AND a IN (SELECT id FROM first) AND b IN (SELECT id FROM first)")
@@ -321,7 +321,7 @@ REACH = "reach AS (SELECT a AS id, a AS r FROM sym UNION SELECT sym.a, reach.r F
 
 
 @query(
-    f"""WITH RECURSIVE {BANDED[5:]}, sym AS (SELECT a, b FROM near WHERE equal >= 32 UNION ALL SELECT b, a FROM near WHERE equal >= 32), {REACH},
+    f"""WITH RECURSIVE {BANDED[5:]}, sym AS MATERIALIZED (SELECT a, b FROM near WHERE equal >= 32 UNION ALL SELECT b, a FROM near WHERE equal >= 32), {REACH},
 comp AS (SELECT id, min(r) AS component FROM reach GROUP BY id), t AS (SELECT component, id, array_to_string(w, ' ') AS norm, text FROM comp JOIN n ON n.doc_id = id JOIN documents d ON d.doc_id = id),
 ok AS (SELECT component, count(*) AS members FROM t GROUP BY component HAVING count(*) > 1 AND count(DISTINCT norm) > 1 AND count(DISTINCT text) > 1)
 SELECT component AS group_id, id AS doc_id, members FROM t JOIN ok USING (component)"""
@@ -335,22 +335,22 @@ def near_groups(spark, sf_dir):
 
 
 BITS = """w AS (SELECT vec_id, embedding AS e, list_sort(embedding) AS s FROM embeddings),
-bits AS (SELECT vec_id, list_transform(e, x -> CASE WHEN CAST(x AS DOUBLE) > (s[32] + s[33]) / 2 THEN 1 ELSE 0 END) AS b FROM w),
-d AS (SELECT x.vec_id AS a, y.vec_id AS b, CAST(list_sum(list_transform(range(1, 65), i -> CASE WHEN x.b[i] <> y.b[i] THEN 1 ELSE 0 END)) AS INTEGER) AS distance FROM bits x JOIN bits y ON x.vec_id < y.vec_id)"""
+bits AS (SELECT vec_id, list_transform(e, lambda x: CASE WHEN CAST(x AS DOUBLE) > (s[32] + s[33]) / 2 THEN 1 ELSE 0 END) AS b FROM w),
+d AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b, CAST(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN x.b[i] <> y.b[i] THEN 1 ELSE 0 END)) AS INTEGER) AS distance FROM bits x JOIN bits y ON x.vec_id < y.vec_id)"""
 
 
 def _vector_prints(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), media.median_words(F.col("embedding")).alias("words"))
 
 
-@query(f"WITH {BITS} SELECT a, b, distance FROM d WHERE distance <= 10")
+@query(f"WITH {BITS} SELECT a, b, distance FROM d WHERE distance <= 14")
 def hamming_pairs(spark, sf_dir):
-    return bits.hamming_pairs(_vector_prints(spark, sf_dir), 10)
+    return bits.hamming_pairs(_vector_prints(spark, sf_dir), 14)
 
 
-@query(f"WITH RECURSIVE {BITS}, sym AS (SELECT a, b FROM d WHERE distance <= 10 UNION ALL SELECT b, a FROM d WHERE distance <= 10), {REACH} SELECT id, min(r) AS component FROM reach GROUP BY id")
+@query(f"WITH RECURSIVE {BITS}, sym AS MATERIALIZED (SELECT a, b FROM d WHERE distance <= 14 UNION ALL SELECT b, a FROM d WHERE distance <= 14), {REACH} SELECT id, min(r) AS component FROM reach GROUP BY id")
 def bit_clusters(spark, sf_dir):
-    return bits.clusters(_vector_prints(spark, sf_dir), 10)
+    return bits.clusters(_vector_prints(spark, sf_dir), 14)
 
 
 @query(f"WITH {BITS}, g AS (SELECT b, count(*) AS members FROM bits GROUP BY b HAVING count(*) > 1) SELECT vec_id AS id, members FROM bits JOIN g USING (b)")
@@ -359,16 +359,16 @@ def image_strict_groups(spark, sf_dir):
     return prints.join(prints.groupBy("words").agg(F.count("*").alias("members")).where("members > 1"), "words").select("id", "members")
 
 
-@query(f"WITH RECURSIVE {BITS}, sym AS (SELECT a, b FROM d WHERE distance <= 6 UNION ALL SELECT b, a FROM d WHERE distance <= 6), {REACH}, c AS (SELECT id, min(r) AS component FROM reach GROUP BY id) SELECT id, component, count(*) OVER (PARTITION BY component) AS members FROM c")
+@query(f"WITH RECURSIVE {BITS}, sym AS MATERIALIZED (SELECT a, b FROM d WHERE distance <= 6 UNION ALL SELECT b, a FROM d WHERE distance <= 6), {REACH}, c AS (SELECT id, min(r) AS component FROM reach GROUP BY id) SELECT id, component, count(*) OVER (PARTITION BY component) AS members FROM c")
 def image_loose_groups(spark, sf_dir):
     labels = bits.clusters(_vector_prints(spark, sf_dir), fixed.IMAGE_THRESHOLD)
     return labels.join(labels.groupBy("component").agg(F.count("*").alias("members")), "component").select("id", "component", "members")
 
 
 @query(
-    """WITH w AS (SELECT vec_id, label, embedding AS e, list_sort(embedding) AS s FROM embeddings), g AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS n, list_transform(e, x -> CASE WHEN CAST(x AS DOUBLE) > (s[32] + s[33]) / 2 THEN 1 ELSE 0 END) AS b FROM w),
+    """WITH w AS (SELECT vec_id, label, embedding AS e, list_sort(embedding) AS s FROM embeddings), g AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS n, list_transform(e, lambda x: CASE WHEN CAST(x AS DOUBLE) > (s[32] + s[33]) / 2 THEN 1 ELSE 0 END) AS b FROM w),
 v AS (SELECT label, n // 5 AS k, flatten(list(b ORDER BY n)) AS b FROM g GROUP BY 1, 2 HAVING count(*) = 5), i AS (SELECT label * 1000000 + k AS id, b FROM v)
-SELECT x.id AS a, y.id AS b, CAST(list_sum(list_transform(range(1, 321), j -> CASE WHEN x.b[j] <> y.b[j] THEN 1 ELSE 0 END)) AS INTEGER) AS distance FROM i x JOIN i y ON x.id < y.id WHERE list_sum(list_transform(range(1, 321), j -> CASE WHEN x.b[j] <> y.b[j] THEN 1 ELSE 0 END)) <= 40"""
+SELECT x.id AS a, y.id AS b, CAST(list_sum(list_transform(range(1, 321), lambda j: CASE WHEN x.b[j] <> y.b[j] THEN 1 ELSE 0 END)) AS INTEGER) AS distance FROM i x JOIN i y ON x.id < y.id WHERE list_sum(list_transform(range(1, 321), lambda j: CASE WHEN x.b[j] <> y.b[j] THEN 1 ELSE 0 END)) <= 40"""
 )
 def video_pairs(spark, sf_dir):
     """Five 64-bit frames make one video print."""
@@ -380,8 +380,8 @@ def video_pairs(spark, sf_dir):
 SEQ = """seq AS (SELECT user_id AS id, CASE user_id % 2 WHEN 0 THEN 'cp' ELSE 'lc' END AS tag, list(CAST(floor(value * 100) AS BIGINT) & 7 ORDER BY event_id) AS w FROM events GROUP BY user_id),
 r AS (SELECT x.id AS a, y.id AS b, len(x.w) AS nx, len(y.w) AS ny, x.w AS wx, y.w AS wy FROM seq x JOIN seq y ON x.tag = y.tag AND x.id < y.id),
 shifts AS (SELECT a, b, sh, least(nx, ny) - abs(sh) AS m, wx, wy FROM r, (VALUES (0), (1), (2), (-1), (-2)) AS s(sh)),
-rates AS (SELECT a, b, CASE WHEN m >= 8 THEN list_sum(list_transform(range(1, m + 1), i -> bit_count(xor(wx[i + greatest(sh, 0)], wy[i + greatest(-sh, 0)])))) / (m * 32) ELSE 1.0 END AS ber FROM shifts),
-best AS (SELECT a, b, min(ber) AS ber FROM rates GROUP BY a, b)"""
+rates AS (SELECT a, b, CASE WHEN m >= 8 THEN list_sum(list_transform(range(1, m + 1), lambda i: bit_count(xor(wx[i + greatest(sh, 0)], wy[i + greatest(-sh, 0)])))) / (m * 32) ELSE 1.0 END AS ber FROM shifts),
+best AS MATERIALIZED (SELECT a, b, min(ber) AS ber FROM rates GROUP BY a, b)"""
 
 
 def _event_prints(spark, sf_dir) -> DataFrame:
@@ -390,14 +390,14 @@ def _event_prints(spark, sf_dir) -> DataFrame:
     return rows.select(F.col("user_id").alias("id"), F.when(F.col("user_id") % 2 == 0, "cp").otherwise("lc").alias("tag"), F.col("s")["w"].alias("words"))
 
 
-@query(f"WITH {SEQ} SELECT a, b, CAST(round(ber * 1000000) AS BIGINT) AS ber_millionths FROM best WHERE ber <= 0.04")
+@query(f"WITH {SEQ} SELECT a, b, CAST(round(ber * 1000000) AS BIGINT) AS ber_millionths FROM best WHERE ber <= 0.03")
 def ber_pairs(spark, sf_dir):
-    return sequences.ber_pairs(_event_prints(spark, sf_dir), 0.04).select("a", "b", F.round(F.col("ber") * 1000000).cast("long").alias("ber_millionths"))
+    return sequences.ber_pairs(_event_prints(spark, sf_dir), 0.03).select("a", "b", F.round(F.col("ber") * 1000000).cast("long").alias("ber_millionths"))
 
 
-@query(f"WITH RECURSIVE {SEQ}, sym AS (SELECT a, b FROM best WHERE ber <= 0.04 UNION ALL SELECT b, a FROM best WHERE ber <= 0.04), {REACH} SELECT id, min(r) AS component FROM reach GROUP BY id")
+@query(f"WITH RECURSIVE {SEQ}, sym AS MATERIALIZED (SELECT a, b FROM best WHERE ber <= 0.03 UNION ALL SELECT b, a FROM best WHERE ber <= 0.03), {REACH} SELECT id, min(r) AS component FROM reach GROUP BY id")
 def ber_clusters(spark, sf_dir):
-    return sequences.ber_clusters(_event_prints(spark, sf_dir), 0.04)
+    return sequences.ber_clusters(_event_prints(spark, sf_dir), 0.03)
 
 
 @query(f"WITH {SEQ} SELECT tag, count(*) AS prints, count(DISTINCT w) AS contents FROM seq GROUP BY tag")
@@ -462,9 +462,9 @@ def fingerprint_cache_reuse(spark, sf_dir):
     return hits.select("path", "size", "mtime", "full_hash").unionByName(misses.select("path", "size", "mtime").withColumn("full_hash", F.lit(None).cast("string")))
 
 
-@query("SELECT at, id, CAST(rank AS INTEGER) AS rank FROM (SELECT epoch_us(ts) AS at, event_id AS id, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS rank FROM events) WHERE rank <= 50")
+@query("SELECT at_us, id, CAST(rank AS INTEGER) AS rank FROM (SELECT epoch_us(ts) AS at_us, event_id AS id, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS rank FROM events) WHERE rank <= 50")
 def scan_history_tail(spark, sf_dir):
-    return incremental.history_tail(table(spark, sf_dir, "events").select(F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("id")))
+    return incremental.history_tail(table(spark, sf_dir, "events").select(F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("id"))).withColumnRenamed("at", "at_us")
 
 
 TREE = f"""{CAT}, dirs AS (SELECT DISTINCT '/' || source AS path FROM documents UNION SELECT DISTINCT '/' || source || '/' || lang FROM documents), fs AS (SELECT path, regexp_matches(name, '[0-8]\\.txt$') OR path LIKE '/src1%' AS junk FROM cat),
@@ -579,7 +579,7 @@ def phash_from_pixels(spark, sf_dir):
     return rows.select("vec_id", media.pixel_hash("phash", rotation=True)("p", "h", "w").alias("words"))
 
 
-@query("WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS a, 1000000000 + l_partkey % 977 AS b FROM lineitem WHERE l_linenumber = 1), sym AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), reach AS (SELECT b AS id, a AS r FROM e UNION SELECT a, a FROM e) SELECT id, min(r) AS component FROM (SELECT id, r FROM reach WHERE id >= 1000000000 UNION ALL SELECT e.a AS id, r.r FROM e JOIN reach r ON r.id = e.b) GROUP BY id")
+@query("WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS a, 1000000000 + l_partkey % 977 AS b FROM lineitem WHERE l_linenumber = 1), sym AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), reach AS (SELECT b AS id, a AS r FROM e UNION SELECT a, a FROM e) SELECT id, min(r) AS component FROM (SELECT id, r FROM reach WHERE id >= 1000000000 UNION ALL SELECT e.a AS id, r.r FROM e JOIN reach r ON r.id = e.b) GROUP BY id")
 def component_labels(spark, sf_dir):
     """Each order's first line joins it to one part class, so every component is one class with its orders."""
     lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
