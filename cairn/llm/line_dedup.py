@@ -120,9 +120,9 @@ def _batches(rows: DataFrame, held: DataFrame, batches: int) -> list[DataFrame]:
     width = (high - low) // batches + 1
     out = []
     for i in range(batches):
-        at = F.col("did") - low
-        part = (at >= i * width) if i else F.lit(True)
-        out.append(held.where(part & (at < (i + 1) * width) if i + 1 < batches else part))
+        # Bounds, not differences: a row without doc_id has the least id there is.
+        part = held.where(F.col("did") >= low + i * width) if i else held
+        out.append(part.where(F.col("did") < low + (i + 1) * width) if i + 1 < batches else part)
     return out
 
 
