@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
+from .rows import smallest
 from .textkernel import blocks
 
 WINDOW = 192
@@ -169,12 +170,12 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Network | None:
     """A network from documents with text, letters and a lang that are not held out; None if there are none.
 
-    At most ``fit_docs`` documents of each lang are used, those with the smallest hash of doc_id
-    and text, so what the driver holds does not grow with the data.
+    At most ``fit_docs`` documents are used, those with the smallest hash of doc_id,
+    text and lang, so what the driver holds does not grow with the data.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
-    key = F.xxhash64("doc_id", "text")
-    sample = usable.select("text", "lang", key.alias("key")).orderBy("key", "lang", "text").limit(fit_docs).collect()
+    key = F.shiftrightunsigned(F.xxhash64("doc_id", "text", "lang"), 1)
+    sample = smallest(usable.select(key.alias("key"), "lang", "text"), "key", fit_docs).collect()
     texts = [(r["text"], r["lang"]) for r in sorted(sample, key=lambda r: (r["key"], r["lang"], r["text"]))]
     return train(texts) if texts else None
 
