@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from ..session import materialize, release
 from .textkernel import MAX, Block, as_long, base, blocks, mix, word_hashes, words
 
+#: Bytes of text whose single windows are hashed at once; each may yield a row of 28 bytes.
+WINDOW_BYTES = 1 << 17
 RUN_SCHEMA = "did long, tkey int, anchor long, k1 long, k2 int, pos int, n int"
 
 
@@ -133,7 +135,7 @@ def window_rows(docs: DataFrame, shape: Shape) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             did, tkey = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for block in blocks(batch.column(2)):
+            for block in blocks(batch.column(2), WINDOW_BYTES):
                 part = batch.column(3).slice(block.first, block.last - block.first)
                 pos, n = (part.flatten().field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
                 counts = part.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLANKS = bytes([0x20, *range(0x09, 0x0E)])
-BLOCK_BYTES = 1 << 19
+BLOCK_BYTES = 1 << 18
 MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
