@@ -203,9 +203,11 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> list[
     labelled = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     labelled = labelled.groupBy("doc_id").agg(F.min("quality").alias("quality")).withColumn("key", key).orderBy("key", "doc_id").limit(fit_rows)
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(labelled), "doc_id")
-    sample = with_statistics(sample).where(~base_failed(F.col("q")))
+    sample = with_statistics(sample)
     have = features(F.col("q"))
-    rows = sample.select(*[have[k].alias(k) for k in FEATURES], (F.col("quality") == 0).alias("bad"), (F.pmod("key", F.lit(5)) == 0).alias("held"), "key", "doc_id").collect()
+    rows = sample.select(*[have[k].alias(k) for k in FEATURES], (F.col("quality") == 0).alias("bad"), (F.pmod("key", F.lit(5)) == 0).alias("held"), "key", "doc_id", base_failed(F.col("q")).alias("failed")).collect()
+    # Sorted out here: as a filter it would move below the join, and statistics of every document be made for it.
+    rows = [r for r in rows if not r["failed"]]
     rows.sort(key=lambda r: (r["key"], r["doc_id"], *r[: len(FEATURES)]))
     return fit([(list(r[: len(FEATURES)]), r["bad"], r["held"]) for r in rows])
 
