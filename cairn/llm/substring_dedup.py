@@ -1,11 +1,10 @@
-"""Substring dedup by relative Lempel-Ziv parsing of word sequences.
-
-Every document is parsed against an index of reference runs that is hash-dealt
-over the cluster, so one probe reaches every reference block. A factor is a
-greedy chain of runs that the index holds from an earlier place; runs whose
-content the index holds in part only are the factor boundaries, and there each
-window is looked up singly. Factors of ``window`` words or more, boundaries
-included, are the duplicate spans.
+"""Exact removal of repeated word windows across documents.
+
+This is not a relative Lempel-Ziv parse: no document is factored greedily
+against reference blocks. Repeated windows are found by the anchors, runs and
+borders of ``repeats.py``. A run plays the part of a factor: one that occurs
+earlier with its whole content goes as a whole. Where runs share an anchor but
+not their content, each window is looked up singly, as at a factor's boundary.
 """
 
 from __future__ import annotations

@@ -1,4 +1,8 @@
-"""Exact byte-level removal of long repeated strings."""
+"""Exact byte-level removal of long repeated strings.
+
+No suffix array or Burrows-Wheeler transform is built: repeated strings are
+found by the anchors, runs and borders of ``repeats.py``.
+"""
 
 from __future__ import annotations
 
