@@ -4,8 +4,8 @@ The sketch of a document is the ``k`` smallest hashes of its shingle set, all
 from one hash function. Among the k smallest of the union of two sets, each is
 in both with probability J, so two documents of similarity ``threshold`` share
 about ``threshold * k`` sketch values, and at least ``need`` but for a chance
-of about one in a million (full sets below k values: exactly as many as the
-threshold demands). Prefix filtering on the values, rarest first, then says
+of about one in a million (a set below k values: exactly the least that any
+partner within the threshold leaves). Prefix filtering on the values, rarest first, then says
 that the two share one of each other's ``size - need + 1`` rarest values; only
 those are put on inverted lists.
 
@@ -54,9 +54,16 @@ class Setting:
     member_block: int = 512
 
     def need(self, n: int) -> int:
-        """Sketch values that two linked documents share at least, for a sketch of n values."""
-        t = self.percent / 100
-        return math.ceil(t * n) if n < self.k else max(1, math.floor(t * n - 5 * math.sqrt(n * t * (1 - t))))
+        """Sketch values that two linked documents share at least, for a sketch of n values.
+
+        Below k the sketch is the whole set. A partner of m values has
+        ``percent * (n + m) / (100 + percent)`` or more in common with it, of
+        which all but m - k are in the partner's sketch.
+        """
+        p, t = self.percent, self.percent / 100
+        if n >= self.k:
+            return max(1, math.floor(t * n - 5 * math.sqrt(n * t * (1 - t))))
+        return max(1, min(-(-p * (n + m) // (100 + p)) - max(0, m - self.k) for m in range(-(-p * n // 100), 100 * n // p + 1)))
 
 
 def shingle_sets(column: pa.Array, shingle: int) -> Iterator[tuple[int, list[np.ndarray]]]:

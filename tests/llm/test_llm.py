@@ -64,6 +64,21 @@ def test_near_dedup(spark):
     assert got[6].n_shingles == 1 and None in got
 
 
+def test_near_dedup_around_sketch_size(spark):
+    """Sets just below and above k values, each pair with words of its own: the links are those of brute force."""
+    texts, want = [], {}
+    for n in range(60, 81):
+        for m in range(n, 81):
+            least = -(-80 * (n + m) // 180)
+            for common in [min(n, least), n, least - 1] + [n] * 20 * (n < 64 and m > 74):
+                i = 2 * len(want)
+                texts.append((i, " ".join(f"w{i}x{k}" for k in range(n))))
+                texts.append((i + 1, " ".join(f"w{i}x{k}" for k in range(n - common, n - common + m))))
+                want[i + 1] = i if 100 * common >= 80 * (n + m - common) else i + 1
+    got = {r.doc_id: r.component_id for r in near_dedup.near_dedup(docs_of(spark, texts), near_dedup.Setting(shingle=1)).collect()}
+    assert {i: got[i] for i in want} == want
+
+
 def test_near_dedup_long_lists(spark):
     """A family larger than a list meets its centres and blocks; the links are those of brute force."""
     base = [f"t{i}" for i in range(150)]
