@@ -226,13 +226,10 @@ def _links(rows: DataFrame, heads: DataFrame, s: Setting) -> DataFrame:
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(long.select("id"))
     sets = sets_of(rows, heads, ids, s)
     known = confirmed(pairs, sets, s)
-    waiting = not long.isEmpty()
-    if waiting:
-        long = materialize(long.join(heads.select("id", "copies"), "id"), "long")
-    open_ = long
-    for _ in range(s.rounds):
-        if not waiting:
-            break
+    if long.isEmpty():
+        return known.where("linked").select("a", "b")
+    open_ = long = materialize(long.join(heads.select("id", "copies"), "id"), "long")
+    for done in range(s.rounds):
         # Members without a link to a centre so far elect the next one of their list; all members meet it.
         centre = open_.groupBy("v").agg(F.max_by(F.struct("id", "n", "bits"), F.struct("copies", F.negate("id"))).alias("c"))
         centre = materialize(_side(centre.select("v", "c.*"), 2), "centre")
@@ -242,10 +239,12 @@ def _links(rows: DataFrame, heads: DataFrame, s: Setting) -> DataFrame:
         linked = linked.union(linked.select("id2", "id"))
         open_ = open_.join(centre.select(F.col("v2").alias("v"), "id2"), "v").where("id != id2").join(linked, ["id", "id2"], "left_anti").select(*long.columns)
         open_ = materialize(open_, "open")
-        waiting = not open_.isEmpty()
+        if open_.isEmpty():
+            if done == 0:
+                return known.where("linked").select("a", "b")
+            # Each member has a centre, but members of two centres may be linked to each other.
+            break
     links = known.where("linked").select("a", "b")
-    if not waiting:
-        return links
     # What the centres of a list have joined is one component; the members outside of it meet the whole list.
     members = materialize(long.select("v", "id").join(connected_components(links, long.select("id")), "id"), "members")
     most = members.groupBy("v", "component").agg(F.count("*").alias("size")).groupBy("v").agg(F.max_by("component", F.struct("size", "component")).alias("main"))

@@ -105,6 +105,19 @@ def test_near_dedup_long_lists(spark):
     assert got == {i: find(i) for i in sets}
 
 
+def test_near_dedup_between_centres(spark):
+    """x and y are linked, their centres h1 and h2 are not, and every list that holds x and y elects those two."""
+    common = [f"ac{i}" for i in range(48)]
+    lacks = [set(common[5 * i : 5 * i + 5]) for i in range(4)]
+    groups = [[f"g{g}w{i}" for i in range(4)] for g in range(2)]
+    x, y = [*common, *groups[0]], [*common, *groups[1]]
+    hubs = [[w for w in (x, y)[i // 2] if w not in lacks[i]] for i in range(4)]
+    texts = [" ".join(words) for words in [x, y, *hubs[:2] * 3, *hubs[2:] * 2]]
+    assert len(set(x) & set(y)) >= 0.8 * len({*x, *y}) and len(set(hubs[0]) & set(y)) < 0.8 * len({*hubs[0], *y})
+    got = near_dedup.near_dedup(docs_of(spark, list(enumerate(texts))), near_dedup.Setting(shingle=1, list_limit=2)).collect()
+    assert {r.component_id for r in got} == {0}
+
+
 def test_line_dedup(spark):
     texts = [(1, "Shared line here\nown one here ok\nshort"), (2, "  shared LINE here \nshort\nother"), (3, None), (4, ""), (5, "twice in one doc\ntwice in one doc"), (None, "Shared line here")]
     got = {r.doc_id: r for r in line_dedup.line_dedup(docs_of(spark, texts)).collect()}
