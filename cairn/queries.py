@@ -317,6 +317,12 @@ def near_pairs(spark, sf_dir):
     return similar.near_pairs(heads, fixed.TEXT_NEAR_THRESHOLD).select("a", "b", F.round(F.col("similarity") * 64).cast("int").alias("equal"))
 
 
+@query(f"{SIGS}, first AS (SELECT sig, min(doc_id) AS a FROM sig GROUP BY sig) SELECT a, doc_id AS b FROM sig JOIN first USING (sig) WHERE a <> doc_id")
+def signature_copies(spark, sf_dir):
+    """The membership of the documents that stand for a signature in lsh_candidates and near_pairs."""
+    return similar.signature_copies(materialize(similar.signatures(_normal_files(spark, sf_dir)), "sigs"))
+
+
 REACH = "reach AS (SELECT a AS id, a AS r FROM sym UNION SELECT sym.a, reach.r FROM sym JOIN reach ON sym.b = reach.id)"
 
 

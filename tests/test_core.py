@@ -6,6 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from cairn import queries
 from cairn.functions.paths import basename, extension, glob_match, human_size, in_directory
 from cairn.operators import archives, bits, catalog, dirs, groups, hashing, incremental, insights, keeper, media, names, sequences, similar, textnorm
 from cairn.operators.components import connected_components
@@ -96,6 +97,20 @@ def test_near_documents(spark):
     assert rows(similar.near_clusters(sigs, 0.8)) == [("a", "a"), ("b", "a")]
 
 
+def test_near_pairs_have_a_membership(spark, tmp_path):
+    """Different texts of one signature: the pairs name the first, the membership names the rest."""
+    words = [f"word{i}" for i in range(4000)]
+    near = [f"other{i}" if i % 800 == 7 else w for i, w in enumerate(words)]
+    texts = [words, *[[*words[:k], "changed", *words[k + 1 :]] for k in range(100, 4000, 300)], near]
+    data = [(i, " ".join(t), "en", "s") for i, t in enumerate(texts)]
+    spark.createDataFrame(data, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    sigs = {r.doc_id: r.sig for r in queries.QUERIES["minhash_signatures"](spark, str(tmp_path)).collect()}
+    want = {(min(j for j in sigs if sigs[j] == sigs[i]), i) for i in sigs} - {(i, i) for i in sigs}
+    assert want and {tuple(r) for r in queries.QUERIES["signature_copies"](spark, str(tmp_path)).collect()} == want
+    pairs = {(r.a, r.b) for r in queries.QUERIES["near_pairs"](spark, str(tmp_path)).collect()}
+    assert {i for pair in pairs | want for i in pair} == set(sigs)
+
+
 def test_bits(spark):
     df = spark.createDataFrame([("x", "0" * 16), ("y", "0" * 15 + "3"), ("z", "f" * 16), ("bad", "zz")], "id string, hex string")
     prints = df.select("id", bits.hex_words(F.col("hex")).alias("words"))
