@@ -123,7 +123,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string"), F.col("text").cast("string"))
     parts = pattern_blocks(windows_of(sorted({(r[0], r[1]) for r in items.toLocalIterator()}), window), block_chars)
     rows = keyed(docs).select("doc_id", "did", "tkey", "text")
-    schema = f"doc_id long, did long, tkey int, n_words long, spans array<{SPAN}>, items array<string>"
+    schema = f"doc_id long, did long, tkey long, n_words long, spans array<{SPAN}>, items array<string>"
 
     def scan(patterns):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .rows import NO_ID, keyed
+from .rows import NULL_IDS, keyed
 
 BLANK_CHARS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -86,9 +86,9 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCH
     ``runs`` may bring the keys of earlier batches; their documents then own
     what they hold, and the keys of docs are added.
 
-    A null or empty text is one empty line. A null doc_id counts as the
-    smallest. Repeated rows (same doc_id) are one document: their lines are no
-    repeats of each other, and each keeps them. An empty table gives an empty
+    A null or empty text is one empty line. Rows with one doc_id are one
+    document: their lines are no repeats of each other, and each keeps them.
+    Rows without doc_id are one document for each text, before all others. An empty table gives an empty
     table. Other columns are ignored.
     """
     rows = keyed(docs)
@@ -114,13 +114,13 @@ def _positions(hashes: Column, lost: Column) -> Column:
 
 def _batches(rows: DataFrame, held: DataFrame, batches: int) -> list[DataFrame]:
     """The key rows by doc_id ranges, in order."""
-    low, high = rows.agg(F.min(F.when(F.col("did") != NO_ID, F.col("did"))), F.max("did")).first()
+    low, high = rows.agg(F.min(F.when(F.col("did") >= NULL_IDS, F.col("did"))), F.max("did")).first()
     if low is None or batches == 1:
         return [held]
     width = (high - low) // batches + 1
     out = []
     for i in range(batches):
-        # Bounds, not differences: a row without doc_id has the least id there is.
+        # Bounds, not differences: rows without doc_id lie far below the others.
         part = held.where(F.col("did") >= low + i * width) if i else held
         out.append(part.where(F.col("did") < low + (i + 1) * width) if i + 1 < batches else part)
     return out

@@ -16,10 +16,12 @@ those are put on inverted lists.
   next centre, for ``rounds`` rounds. Whatever a list then still holds outside
   its main component is compared with the whole list, block by block.
 
-Pairs survive if a bound on the overlap of their sketches leaves the threshold
-within reach, which bit sets of the sketches give inside the join itself; links
-are confirmed on the full sets. Documents with equal sets are collapsed first,
-so a group of copies is one entry of every list.
+Inside the join that makes the pairs, bit sets of the sketches already rule out
+most that cannot reach the threshold. The others are filtered by the estimate
+from their union sketch, the k smallest values of both, of which the share that
+lies in both estimates the similarity. Links are confirmed on the full sets,
+which are made only for what is left. Documents with equal sets are collapsed
+first, so a group of copies is one entry of every list.
 """
 
 from __future__ import annotations
@@ -109,7 +111,7 @@ def sketches(rows: DataFrame, s: Setting) -> DataFrame:
                     names=["doc_id", "did", "tkey", "n", "d1", "d2", "bits", "sketch"],
                 )
 
-    return rows.select("doc_id", "did", "tkey", "text").mapInArrow(scan, "doc_id long, did long, tkey int, n long, d1 long, d2 long, bits struct<b0:long,b1:long,b2:long,b3:long>, sketch array<long>")
+    return rows.select("doc_id", "did", "tkey", "text").mapInArrow(scan, "doc_id long, did long, tkey long, n long, d1 long, d2 long, bits struct<b0:long,b1:long,b2:long,b3:long>, sketch array<long>")
 
 
 def full_sets(rows: DataFrame, s: Setting) -> DataFrame:
@@ -120,7 +122,7 @@ def full_sets(rows: DataFrame, s: Setting) -> DataFrame:
             for first, sets in shingle_sets(batch.column(2), s.shingle):
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(first, len(sets)) for i in range(2)), pa.array([x.tobytes() for x in sets], pa.binary())], names=["did", "tkey", "items"])
 
-    return rows.select("did", "tkey", "text").mapInArrow(scan, "did long, tkey int, items binary")
+    return rows.select("did", "tkey", "text").mapInArrow(scan, "did long, tkey long, items binary")
 
 
 def candidates(heads: DataFrame, s: Setting) -> tuple[DataFrame, DataFrame]:
@@ -172,6 +174,37 @@ def sets_of(rows: DataFrame, heads: DataFrame, ids: DataFrame, s: Setting) -> Da
     return materialize(sets.join(wanted, ["did", "tkey"]).select("id", "items"), "sets")
 
 
+def estimated(pairs: DataFrame, heads: DataFrame, s: Setting) -> DataFrame:
+    """Those of pairs(a, b) whose union sketch leaves the threshold within reach.
+
+    Of the k smallest values of two sets together, each lies in both with
+    probability J. A pair goes if the share is five standard deviations below
+    the threshold. If both sketches are whole sets, the union is whole and the
+    share is the similarity itself.
+    """
+    sides = [heads.select(F.col("id").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in ("a", "b")]
+    both = pairs.join(sides[0], "a").join(sides[1], "b")
+    least = s.need(s.k)
+
+    @F.pandas_udf("boolean")
+    def within_reach(x: pd.Series, y: pd.Series) -> pd.Series:
+        out = []
+        for one, two in zip(x, y, strict=True):
+            joint = np.concatenate((one, two)).view(np.uint64)
+            joint.sort()
+            twice = joint[1:] == joint[:-1]
+            if len(one) < s.k and len(two) < s.k:
+                common = int(np.count_nonzero(twice))
+                out.append(100 * common >= s.percent * (len(joint) - common))
+            else:
+                # The k-th distinct value ends the union sketch; a value in both is counted at its second place.
+                end = int(np.searchsorted(np.cumsum(np.append(True, ~twice)), s.k, "right"))
+                out.append(int(np.count_nonzero(twice[: end - 1])) >= least)
+        return pd.Series(out, dtype=bool)
+
+    return materialize(both.where(within_reach("sketch_a", "sketch_b")).select("a", "b"), "estimated")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, s: Setting) -> DataFrame:
     """``a, b, linked``: each pair, judged on the full sets."""
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
@@ -199,30 +232,52 @@ def near_dedup(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
 
     Null, empty and blank texts have an empty set and stay alone. Equal sets
     are linked whatever their texts. Repeated rows (same doc_id and text) have
-    equal results. A row without doc_id takes part as the smallest id and
-    reports a null component_id. An empty table gives an empty table. Other
-    columns are ignored.
+    equal results; rows of one doc_id with different sets are linked only as
+    their sets are. Rows without doc_id are documents of their own, after all
+    others: they report the smallest doc_id that they reach, and null if there
+    is none; then one of their texts is kept. An empty table gives an empty
+    table. Other columns are ignored.
     """
     s = setting
     rows = keyed(docs)
     made = materialize(sketches(rows, s), "sketches")
-    alone = made.where("n = 0")
     group = ["n", "d1", "d2"]
-    heads = made.where("n > 0").groupBy(*group).agg(F.count("*").alias("copies"), F.min(F.struct("did", "tkey", "bits", "sketch")).alias("h"))
-    heads = materialize(heads.select(*group, "copies", "h.*").withColumn("id", F.col("did")), "heads")
+    head = F.struct(F.col("doc_id").isNull().alias("unnamed"), "did", "tkey", "bits", "sketch")
+    heads = made.where("n > 0").groupBy(*group).agg(F.count("*").alias("copies"), F.min(head).alias("h"))
+    heads = _with_vertices(materialize(heads.select(*group, "copies", "h.*"), "heads"))
     links = _links(rows, heads, s)
     component = connected_components(links, heads.select("id"))
-    named = materialize(heads.join(component, "id").select(*group, "component"), "named")
+    named = materialize(heads.select("id", *group, F.struct("unnamed", "did").alias("place")).join(component, "id"), "named")
+    first = named.groupBy("component").agg(F.min("place").alias("first"))
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
-    named = named.join(heads.select(*group, "id"), group).join(degree, "id", "left").drop("id")
-    grouped = made.where("n > 0").drop("sketch").join(named, group).select("doc_id", "did", "tkey", "n", "component", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    out = grouped.unionByName(alone.select("doc_id", "did", "tkey", "n", F.col("did").alias("component"), F.lit(0).cast("long").alias("n_links")))
-    return out.select("doc_id", "did", "tkey", F.col("n").alias("n_shingles"), F.when(F.col("component") != -(2**63), F.col("component")).alias("component_id"), "n_links", (F.col("did") == F.col("component")).alias("kept"))
+    named = named.join(first, "component").join(degree, "id", "left").select(*group, "first", "n_links")
+    kept = ["doc_id", "did", "tkey", "n", "first", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")]
+    grouped = made.where("n > 0").select("doc_id", "did", "tkey", *group).join(named, group).select(*kept)
+    alone = made.where("n = 0").select("doc_id", "did", "tkey", "n", F.struct(F.col("doc_id").isNull().alias("unnamed"), "did").alias("first"), F.lit(0).cast("long").alias("n_links"))
+    return grouped.unionByName(alone).select(
+        "doc_id",
+        "did",
+        "tkey",
+        F.col("n").alias("n_shingles"),
+        F.when(~F.col("first.unnamed"), F.col("first.did")).alias("component_id"),
+        "n_links",
+        (F.col("did") == F.col("first.did")).alias("kept"),
+    )
+
+
+def _with_vertices(heads: DataFrame) -> DataFrame:
+    """heads with an ``id`` of their own each: the did, or a hash of the set where several sets share a did."""
+    shared = materialize(heads.groupBy("did").agg(F.count("*").alias("sets")).where("sets > 1"), "shareddid")
+    if shared.isEmpty():
+        return heads.withColumn("id", F.col("did"))
+    marked = heads.join(shared, "did", "left")
+    return materialize(marked.select(*heads.columns, F.when(F.col("sets").isNull(), F.col("did")).otherwise(F.xxhash64("d1", "d2", "n", "did")).alias("id")), "heads")
 
 
 def _links(rows: DataFrame, heads: DataFrame, s: Setting) -> DataFrame:
     """``a, b``: confirmed links between heads, enough of them to join all that are linked."""
     pairs, long = candidates(heads, s)
+    pairs = estimated(pairs, heads, s)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(long.select("id"))
     sets = sets_of(rows, heads, ids, s)
     known = confirmed(pairs, sets, s)
@@ -234,7 +289,7 @@ def _links(rows: DataFrame, heads: DataFrame, s: Setting) -> DataFrame:
         centre = open_.groupBy("v").agg(F.max_by(F.struct("id", "n", "bits"), F.struct("copies", F.negate("id"))).alias("c"))
         centre = materialize(_side(centre.select("v", "c.*"), 2), "centre")
         meet = _side(long, 1).join(centre, (F.col("v1") == F.col("v2")) & (F.col("id1") != F.col("id2")) & _may_link(s))
-        known = known.union(confirmed(_untried(meet, known), sets, s))
+        known = known.union(confirmed(estimated(_untried(meet, known), heads, s), sets, s))
         linked = known.where("linked").select(F.col("a").alias("id"), F.col("b").alias("id2"))
         linked = linked.union(linked.select("id2", "id"))
         open_ = open_.join(centre.select(F.col("v2").alias("v"), "id2"), "v").where("id != id2").join(linked, ["id", "id2"], "left_anti").select(*long.columns)

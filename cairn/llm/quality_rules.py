@@ -66,13 +66,13 @@ def repeat_words(w: Column) -> Column:
     return F.when(F.size(w) < 4, F.lit(0).cast("long")).otherwise(let(w, count))
 
 
-def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with a struct column ``q``: base counts and the features of the rules."""
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+def with_statistics(rows: DataFrame) -> DataFrame:
+    """rows, which have a ``text`` and no column named q or q_..., with a struct column ``q``: base counts and the features of the rules."""
+    body = F.coalesce(F.col("text"), F.lit(""))
     trimmed = F.btrim(body, F.lit(BLANK_CHARS))
     w = F.when(F.char_length(trimmed) == 0, F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
     lines = F.filter(F.split(body, "\n"), lambda x: F.char_length(F.btrim(x, F.lit(BLANK_CHARS))) > 0)
-    first = docs.withColumn("q_words", w).withColumn("q_lines", lines)
+    first = rows.withColumn("q_words", w).withColumn("q_lines", lines)
     words = F.col("q_words")
     made = first.withColumn(
         "q",
@@ -202,10 +202,13 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> list[
     key = F.xxhash64("doc_id")
     labelled = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     labelled = labelled.groupBy("doc_id").agg(F.min("quality").alias("quality")).withColumn("key", key).orderBy("key", "doc_id").limit(fit_rows)
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(labelled), "doc_id")
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(labelled), "doc_id")
     sample = with_statistics(sample)
     have = features(F.col("q"))
-    rows = sample.select(*[have[k].alias(k) for k in FEATURES], (F.col("quality") == 0).alias("bad"), (F.pmod("key", F.lit(5)) == 0).alias("held"), "key", "doc_id", base_failed(F.col("q")).alias("failed")).collect()
+    judged = F.struct(*[have[k].alias(k) for k in FEATURES], base_failed(F.col("q")).alias("failed"))
+    # Of rows that repeat a doc_id one counts, so the labels bound what is collected.
+    sample = sample.groupBy("key", "doc_id", "quality").agg(F.min(judged).alias("s"))
+    rows = sample.select("s.*", (F.col("quality") == 0).alias("bad"), (F.pmod("key", F.lit(5)) == 0).alias("held"), "key", "doc_id").collect()
     # Sorted out here: as a filter it would move below the join, and statistics of every document be made for it.
     rows = [r for r in rows if not r["failed"]]
     rows.sort(key=lambda r: (r["key"], r["doc_id"], *r[: len(FEATURES)]))
@@ -213,7 +216,7 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> list[
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """docs with ``q`` (statistics), ``q_base_failed``, ``q_rule`` (number of the rule that rejects, or 0) and ``q_kept``.
+    """``doc`` (a struct of all columns of docs), ``q`` (statistics), ``q_base_failed``, ``q_rule`` (number of the rule that rejects, or 0) and ``q_kept``.
 
     A text fails at once with fewer than 50 words or if more than half of its
     words lie in repeated 3-word windows. The others are judged by ``rules``,
@@ -221,17 +224,17 @@ def quality_rules(docs: DataFrame, labels: DataFrame, rules: list[Rule] | None =
 
     Null, empty and blank texts have 0 in all statistics and fail. Documents
     without label, with a null doc_id or in repeated rows are judged like any
-    other; a doc_id labelled twice is bad if one label says so. Without labels
-    there are no rules. An empty table gives an empty table. Columns of docs
-    stay, but for those named q and q_...
+    other; a doc_id labelled twice is bad if one label says so, and of rows that
+    repeat a labelled doc_id the one with the least statistics is learned from.
+    Without labels there are no rules. An empty table gives an empty table.
+    Columns of docs are within the struct, so none can clash.
     """
     rules = learn(docs, labels) if rules is None else rules
-    out = with_statistics(docs.drop("q", "q_base_failed", "q_rule", "q_kept"))
-    out = out.withColumn("q_base_failed", base_failed(F.col("q"))).withColumn("q_rule", verdict(rules, F.col("q")))
-    return out.withColumn("q_kept", ~F.col("q_base_failed") & (F.col("q_rule") == 0))
+    out = with_statistics(docs.select(F.struct(*docs.columns).alias("doc"), F.col("text").cast("string").alias("text")))
+    return out.select("doc", "q", base_failed(F.col("q")).alias("q_base_failed"), verdict(rules, F.col("q")).alias("q_rule")).withColumn("q_kept", ~F.col("q_base_failed") & (F.col("q_rule") == 0))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return judged.select("doc_id", *[F.col("q")[k].alias(k) for k in names], F.col("q_base_failed").alias("base_failed"), F.col("q_kept").alias("kept"), F.col("q_rule").alias("rule"))
+    return judged.select("doc.doc_id", *[F.col("q")[k].alias(k) for k in names], F.col("q_base_failed").alias("base_failed"), F.col("q_kept").alias("kept"), F.col("q_rule").alias("rule"))

@@ -32,7 +32,7 @@ from .textkernel import MAX, Block, as_long, base, blocks, mix, word_hashes, wor
 
 #: Bytes of text whose single windows are hashed at once; each may yield a row of 28 bytes.
 WINDOW_BYTES = 1 << 17
-RUN_SCHEMA = "did long, tkey int, anchor long, k1 long, k2 int, pos int, n int"
+RUN_SCHEMA = "did long, tkey long, anchor long, k1 long, k2 int, pos int, n int"
 
 
 def byte_symbols(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,7 +143,7 @@ def window_rows(docs: DataFrame, shape: Shape) -> DataFrame:
                 row = row + block.first
                 yield pa.RecordBatch.from_arrays([pa.array(did[row]), pa.array(tkey[row]), _int(pos), as_long(w1), _low(w2)], names=["did", "tkey", "pos", "w1", "w2"])
 
-    return docs.select("did", "tkey", "text", "runs").mapInArrow(scan, "did long, tkey int, pos int, w1 long, w2 int")
+    return docs.select("did", "tkey", "text", "runs").mapInArrow(scan, "did long, tkey long, pos int, w1 long, w2 int")
 
 
 def repeated_spans(docs: DataFrame, shape: Shape, keep_first: bool) -> DataFrame:
@@ -224,4 +224,4 @@ def cut_spans(docs: DataFrame, spans: DataFrame, shape: Shape, join_with: bytes
                     names=["doc_id", "did", "tkey", "n", "n_removed", "n_spans", "spans", "kept"],
                 )
 
-    return joined.mapInArrow(scan, "doc_id long, did long, tkey int, n long, n_removed long, n_spans long, spans array<struct<start:long,stop:long>>, kept binary")
+    return joined.mapInArrow(scan, "doc_id long, did long, tkey long, n long, n_removed long, n_spans long, spans array<struct<start:long,stop:long>>, kept binary")

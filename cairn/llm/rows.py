@@ -7,29 +7,33 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 
-NO_ID = -(2**63)
+#: Identities of rows without doc_id lie below this, before those of all others.
+NULL_IDS = -(2**62)
 
 
 def identity() -> list[Column]:
-    """``did, tkey`` of a row with doc_id and text, never null."""
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.hash(F.col("text").cast("string")).alias("tkey")]
+    """``did, tkey`` of a row with doc_id and text, never null.
+
+    did is the doc_id. Rows without one take 62 bits of a hash of their text,
+    moved below ``NULL_IDS``: each text among them is a document of its own,
+    before all others. tkey is another 64-bit hash of the text. So texts
+    without doc_id are told apart by 126 bits, and texts that share a doc_id by
+    64. (A doc_id below ``NULL_IDS`` keeps its place in the order of numbers.)
+    """
+    text = F.col("text").cast("string")
+    own = F.shiftrightunsigned(F.xxhash64(F.lit(1), text), 2) + F.lit(-(2**63))
+    return [F.coalesce(F.col("doc_id").cast("long"), own).alias("did"), F.xxhash64(text).alias("tkey")]
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``doc_id, text`` plus a non-null identity ``(did, tkey)`` for internal joins.
+    """``doc_id, text`` plus the non-null identity ``did, tkey`` for internal joins.
 
-    Other columns are left behind, so none of theirs can clash. A null doc_id
-    orders before all others. Rows with equal doc_id and text share an identity
-    and so a result; rows with equal doc_id and different texts stay apart by
-    the 32-bit hash of the text.
+    Other columns are left behind, so none of theirs can clash. Rows with equal
+    doc_id and text share an identity and so a result.
     """
     ship(docs.sparkSession)
     doc_id = F.col("doc_id").cast("long")
-    return docs.select(
-        doc_id.alias("doc_id"),
-        F.col("text").cast("string").alias("text"),
-        *identity(),
-    )
+    return docs.select(doc_id.alias("doc_id"), F.col("text").cast("string").alias("text"), *identity())
 
 
 def smallest(rows: DataFrame, key: str, n: int) -> DataFrame:

@@ -62,6 +62,16 @@ def test_near_dedup(spark):
     assert got[20].component_id == 1 and got[10].component_id == 1 and got[2].component_id == 1
     assert got[3].component_id == 3 and got[3].n_shingles == 0 and got[4].kept and got[5].kept
     assert got[6].n_shingles == 1 and None in got
+    assert near_dedup.near_dedup(docs_of(spark, TEXTS).limit(0)).count() == 0
+
+
+def test_near_dedup_without_and_with_shared_ids(spark):
+    """Rows without doc_id, and texts that share one, are linked only by their sets."""
+    x, y = (" ".join(f"{c}{i}" for i in range(30)) for c in "xy")
+    texts = [(None, x), (None, y), (5, x), (6, y), (7, "seven alone"), (7, x), (None, "no copy"), (None, "no copy")]
+    got = [(r.doc_id, r.component_id, r.kept) for r in near_dedup.near_dedup(docs_of(spark, texts), near_dedup.Setting(shingle=2)).collect()]
+    want = [(None, 5, False), (None, 6, False), (5, 5, True), (6, 6, True), (7, 7, True), (7, 5, False), (None, None, True), (None, None, True)]
+    assert sorted(got, key=str) == sorted(want, key=str)
 
 
 def test_near_dedup_around_sketch_size(spark):
@@ -132,6 +142,15 @@ def test_line_dedup(spark):
     assert later.first()["kept"] == "new line of ours"
 
 
+def test_identity_is_wider_than_32_bits(spark):
+    """Two texts of equal 32-bit hash and no doc_id stay two documents."""
+    texts = ["document number 155687", "document number 11912"]
+    both = docs_of(spark, [(None, t) for t in texts])
+    assert both.select(F.hash("text")).distinct().count() == 1
+    assert rows.keyed(both).select("did", "tkey").distinct().count() == 2
+    assert sorted(r.kept for r in line_dedup.line_dedup(both).collect()) == sorted(texts)
+
+
 def test_decontaminate(spark):
     item = " ".join(f"q{i}" for i in range(14))
     bench = spark.createDataFrame([(1, item), (2, "Short item"), (3, None), (None, item), (4, ""), (1, item)], "item_id long, text string")
@@ -161,7 +180,7 @@ def test_mixing(spark):
 def test_quality(spark):
     text = "one two three one two three four five"
     docs = docs_of(spark, [(1, text), (2, None), (3, "a#b c$d\nx\nx\n \n"), (4, " ".join(f"u{i}" for i in range(60)))])
-    got = {r.doc_id: r for r in quality_rules.quality_rules(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()}
+    got = {r.doc.doc_id: r for r in quality_rules.quality_rules(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()}
     assert got[1].q.n_repeat_words == 6 and got[2].q.n_words == 0 and got[3].q.n_symbols == 2 and got[3].q.n_dup_lines == 1
     assert got[4].q_kept and not got[1].q_kept
     rules = quality_rules.fit([([float(i)] + [0.0] * 7, i > 50, i % 5 == 0) for i in range(100)])

@@ -11,7 +11,7 @@ import corpus_pipeline
 from cairn.llm import quality_rules
 
 BLANKS = " \t\n\x0b\x0c\r"
-DOC = "doc_id long, text string, lang string, source string, n_chars long, did string, q_kept int"
+DOC = "doc_id long, text string, lang string, source string, n_chars long, did string, q_kept int, q_words string, q string, doc int"
 
 
 def fixture_rows():
@@ -38,9 +38,9 @@ def fixture_rows():
             words[rng.randrange(len(words))] = rng.choice(vocab)
         # One word a line, so that only the third stage sees the copy.
         texts.append([i, "\n".join(" ".join(words).split())])
-    texts += [[171, None], [172, ""], [173, " \t\n "], [174, prose(2)], [175, "one two three " * 40], [176, "é" * 30_000], [177, prose(900)], [None, prose(9)], [178, clean[0]], [178, clean[0]]]
+    texts += [[171, None], [172, ""], [173, " \t\n "], [174, prose(2)], [175, "one two three " * 40], [176, "é" * 30_000], [177, prose(900)], [None, prose(9)], [None, clean[1]], [None, "document number 155687\n" + prose(8)], [None, "document number 11912\n" + prose(8)], [178, clean[0]], [178, clean[0]]]
     sources = [*["hot"] * 6, "web", "Web", "ärger", None]
-    return [(i, t, "en", sources[n % len(sources)], None if t is None else len(t), "x", n % 2) for n, (i, t) in enumerate(texts)], labels, items
+    return [(i, t, "en", sources[n % len(sources)], None if t is None else len(t), "x", n % 2, "w", "q", n) for n, (i, t) in enumerate(texts)], labels, items
 
 
 def words_of(text):
@@ -69,8 +69,9 @@ def low(text):
     return re.sub("[A-Z]", lambda m: m[0].lower(), text)
 
 
-def by_id(i):
-    return (i is not None, i or 0)
+def by_id(row):
+    """Rows without doc_id come first, each text a document of its own."""
+    return row[0] if row[0] is not None else -(2**63) + (xxhash.xxh64_intdigest((row[1] or "").encode(), xxhash.xxh64_intdigest((1).to_bytes(4, "little"), 42)) >> 2)
 
 
 def brute_lines(rows):
@@ -79,9 +80,10 @@ def brute_lines(rows):
     for row in rows:
         for line in (row[1] or "").split("\n"):
             if len(key(line)) >= 10:
-                holders[key(line)].add(by_id(row[0]))
-    cut = lambda i, text: "\n".join(x for x in text.split("\n") if len(key(x)) < 10 or min(holders[key(x)]) == by_id(i))
-    return [(r[0], None if r[1] is None else cut(r[0], r[1]), *r[2:]) for r in rows]
+                holders[key(line)].add(by_id(row))
+    cut = lambda r: "\n".join(x for x in r[1].split("\n") if len(key(x)) < 10 or min(holders[key(x)]) == by_id(r))
+    texts = [None if r[1] is None else cut(r) for r in rows]
+    return [(r[0], t, *r[2:4], r[4] if t is None else len(t), *r[5:]) for r, t in zip(rows, texts, strict=True)]
 
 
 def brute_near(rows):
@@ -100,9 +102,9 @@ def brute_near(rows):
         for b in range(a):
             both = len(sets[a] & sets[b])
             if both and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
-                x, y = sorted((find(a), find(b)), key=lambda n: (by_id(rows[n][0]), n))
+                x, y = sorted((find(a), find(b)), key=lambda n: (rows[n][0] is None, by_id(rows[n]), n))
                 least[y] = x
-    return [r for n, r in enumerate(rows) if r[0] == rows[find(n)][0]]
+    return [r for n, r in enumerate(rows) if by_id(r) == by_id(rows[find(n)])]
 
 
 def brute_clean(rows, items):
@@ -131,7 +133,7 @@ def brute_mix(rows):
         h = xxhash.xxh64_intdigest((7).to_bytes(4, "little"), 42)
         h = h if row[0] is None else xxhash.xxh64_intdigest(row[0].to_bytes(8, "little"), h)
         h = h if row[1] is None else xxhash.xxh64_intdigest(row[1].encode(), h)
-        return (h >> 1, h - (1 << 64) * (h >> 63), by_id(row[0]))
+        return (h >> 1, h - (1 << 64) * (h >> 63), (row[0] is not None, row[0] or 0))
 
     out = []
     for s in order:
@@ -156,9 +158,9 @@ def test_pipeline(spark, tmp_path):
     want, counts = rows, [len(rows)]
     for (name, stage), plain in zip(corpus_pipeline.STAGES, brute, strict=False):
         docs = corpus_pipeline.materialize(stage(spark, docs, str(tmp_path)), name)
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "did", "q_kept"]
+        assert docs.columns == [x.split()[0] for x in DOC.split(", ")]
         before, want = want, plain(want)
-        assert sorted((tuple(r)[:4] for r in docs.collect()), key=str) == sorted((r[:4] for r in want), key=str), name
+        assert sorted(map(tuple, docs.collect()), key=str) == sorted(map(tuple, want), key=str), name
         assert docs.where("n_chars != char_length(text) or (n_chars is null) != (text is null)").count() == 0, name
         assert want != before, name
         counts.append(len(want))
