@@ -28,7 +28,7 @@ def _with_keys(docs: DataFrame) -> DataFrame:
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the learned decision list reject go."""
     judged = quality_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return judged.where("q_kept").select(*docs.columns)
+    return judged.where("q_kept").select("doc.*")
 
 
 def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
