@@ -11,10 +11,17 @@ levels shrink that, without losing a window:
    windows throughout. One run of each such class, the first in the corpus,
    stands for the class: it is the indexed reference.
 3. *Borders.* Where runs share an anchor but not their content, a repeated
-   stretch begins or ends, and only there are single windows compared.
+   stretch begins or ends. One run of each content becomes a *phrase*: its
+   symbols, with the anchor's gram, which all of them share, as one symbol.
+   Phrases are dealt by anchor into blocks of bounded size, and each block is
+   compared by the operator's own method (``Shape.compare``).
 
-Every comparison is a hash-partitioned aggregate or equi-join; no task holds
-all members of a class.
+An anchor with more contents than a block holds would fill one task. Its windows
+are counted singly, by hash, which spreads them over all tasks.
+
+Every comparison is a hash-partitioned aggregate or equi-join; keys heavy enough
+to fill a task are few by their number and broadcast (``join_keys``), so no task
+holds all members of a class.
 """
 
 from __future__ import annotations
@@ -30,9 +37,14 @@ from pyspark.sql import functions as F
 from ..session import materialize, release
 from .textkernel import MAX, Block, as_long, base, blocks, mix, word_hashes, words
 
-#: Bytes of text whose single windows are hashed at once; each may yield a row of 28 bytes.
-WINDOW_BYTES = 1 << 17
-RUN_SCHEMA = "did long, tkey long, anchor long, k1 long, k2 int, pos int, n int"
+#: Phrases of a block on average, and contents of an anchor up to which it is part of a block.
+BLOCK_PHRASES, MOST_KINDS = 1024, 1024
+#: A key with more than this share of all rows is joined by broadcast; there are fewer than 2048 of them.
+HEAVY_SHARE = 2048
+#: shape packs two small numbers: windows of the run, and symbols before its anchor (times 65536).
+RUN_SCHEMA = "did long, tkey long, anchor long, k1 long, k2 int, pos int, shape int"
+PHRASE_SCHEMA = "block long, anchor long, did long, tkey long, pos int, shape int, symbols binary"
+SPAN_SCHEMA = "did long, tkey long, pos int, len int"
 
 
 def byte_symbols(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -40,6 +52,15 @@ def byte_symbols(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return base(1).table[block.data], base(2).table[block.data], block.offsets
 
 
+def byte_values(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    return block.data, block.offsets
+
+
+def word_values(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    found = words(block)
+    return word_hashes(block, found, 1), found.first
+
+
 def word_symbols(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Two symbol hashes for each word, and the bounds of each row."""
     found = words(block)
@@ -48,14 +69,30 @@ def word_symbols(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class Shape:
-    """What counts as a repeat: ``window`` symbols, found by grams of ``gram``."""
+    """What counts as a repeat: ``window`` symbols, found by grams of ``gram``.
+
+    ``raw`` gives the symbols of a block as numpy values (bytes, or hashes of
+    words). ``compare`` tells which windows of a block of phrases count, see
+    ``Phrases``.
+    """
 
     symbols: Callable
+    raw: Callable
+    compare: Callable
     window: int
     gram: int
 
+    def __post_init__(self):
+        if not 0 < self.gram <= self.window < 1 << 15:
+            raise ValueError("needs 0 < gram <= window < 32768")
+
+    @property
+    def least(self) -> int:
+        """Symbols of a window in a phrase, where the gram is one."""
+        return self.window - self.gram + 1
+
     def runs(self, block: Block) -> tuple[np.ndarray, ...]:
-        """row, anchor, k1, k2, pos and n of each run; pos counts from its row's start."""
+        """row, anchor, k1, k2, pos and shape of each run; pos counts from its row's start."""
         s1, s2, bounds = self.symbols(block)
         size, w = len(s1), self.window - self.gram + 1
         if size < self.window:
@@ -76,15 +113,60 @@ class Shape:
         start, n = valid[new], np.diff(np.append(new, len(at)))
         stop = start + n - 1 + self.window
         row = np.searchsorted(bounds, start, "right") - 1
-        return row, grams[at[new]], f1.ranges(p1, start, stop), f2.ranges(f2.sums(s2), start, stop), start - bounds[row], n
+        return row, grams[at[new]], f1.ranges(p1, start, stop), f2.ranges(f2.sums(s2), start, stop), start - bounds[row], n + ((at[new] - start) << 16)
 
-    def windows(self, block: Block, row: np.ndarray, pos: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
-        """row, pos and both hashes of each window in the given runs."""
-        s1, s2, bounds = self.symbols(block)
-        row, skip = np.repeat(row, n), np.repeat(np.cumsum(n) - n, n)
-        pos = np.repeat(pos, n) + np.arange(len(row)) - skip
-        start = bounds[row] + pos
-        return row, pos, *(f.ranges(f.sums(s), start, start + self.window) for f, s in ((base(3), s1), (base(4), s2)))
+
+@dataclass
+class Phrases:
+    """Distinct phrases in corpus order. ``codes`` are their symbols as numbers from 1, phrase r at ``bounds[r]``..``bounds[r + 1]``.
+
+    Code i stands for the i-th symbol of its run up to the gram, which is one
+    code; so the first ``n`` codes of a phrase are where its windows start.
+    """
+
+    did: np.ndarray
+    tkey: np.ndarray
+    pos: np.ndarray
+    n: np.ndarray
+    codes: np.ndarray
+    bounds: np.ndarray
+
+    @classmethod
+    def of(cls, table: pa.Table, kind: type) -> Phrases:
+        did, tkey, pos, shape, anchor = (table.column(c).to_numpy() for c in ("did", "tkey", "pos", "shape", "anchor"))
+        order = np.lexsort((pos, tkey, did))
+        same = (did[order][1:] == did[order][:-1]) & (tkey[order][1:] == tkey[order][:-1]) & (pos[order][1:] == pos[order][:-1])
+        order = order[np.append(True, ~same)[: len(order)]]  # Rows that repeat a document bring its phrases again.
+        raw = table.column("symbols").to_pylist()
+        parts = [np.frombuffer(raw[i], kind) for i in order]
+        bounds = np.concatenate(([0], np.cumsum([len(x) + 1 for x in parts])))
+        values, coded = np.unique(np.concatenate([*parts, np.zeros(0, kind)]), return_inverse=True)
+        codes = np.zeros(bounds[-1], np.int64)
+        grams = bounds[:-1] + (shape[order] >> 16)
+        codes[grams] = np.unique(anchor[order], return_inverse=True)[1] + len(values) + 1
+        codes[codes == 0] = coded + 1
+        return cls(did[order], tkey[order], pos[order], shape[order] & 0xFFFF, codes, bounds)
+
+    def spans(self, hit: np.ndarray, window: int) -> pa.Table:
+        """Stretches covered by the windows that start at codes with ``hit``."""
+        fence = np.zeros(len(hit), bool)
+        fence[self.bounds[:-1]] = True
+        first = np.flatnonzero(hit & (fence | ~np.append(False, hit[:-1])))
+        last = np.flatnonzero(hit & np.append(fence[1:] | ~hit[1:], True))
+        row = np.searchsorted(self.bounds, first, "right") - 1
+        pos = self.pos[row] + first - self.bounds[row]
+        return pa.table({"did": self.did[row], "tkey": self.tkey[row], "pos": pos.astype(np.int32), "len": (last - first + window).astype(np.int32)})
+
+
+def suffix_ranks(text: np.ndarray, longest: int) -> list[np.ndarray]:
+    """Ranks of all suffixes of text by their first 1, 2, 4, ... symbols, up to ``longest`` or more."""
+    levels, k = [np.unique(text, return_inverse=True)[1]], 1
+    while k < longest:
+        ahead = np.zeros(len(text), np.int64)
+        ahead[:-k] = levels[-1][k:] + 1
+        levels.append(np.unique(levels[-1] * np.int64(len(text) + 1) + ahead, return_inverse=True)[1])
+        k *= 2
+    return levels
 
 
 def mix_slices(family, sums: np.ndarray, length: int) -> np.ndarray:
@@ -121,62 +203,119 @@ def run_rows(docs: DataFrame, shape: Shape) -> DataFrame:
         for batch in batches:
             did, tkey = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for block in blocks(batch.column(2)):
-                row, anchor, k1, k2, pos, n = shape.runs(block)
+                row, anchor, k1, k2, pos, packed = shape.runs(block)
                 if len(row):
                     row = row + block.first
-                    yield pa.RecordBatch.from_arrays([pa.array(did[row]), pa.array(tkey[row]), as_long(anchor), as_long(k1), _low(k2), _int(pos), _int(n)], names=["did", "tkey", "anchor", "k1", "k2", "pos", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(did[row]), pa.array(tkey[row]), as_long(anchor), as_long(k1), _low(k2), _int(pos), _int(packed)], names=["did", "tkey", "anchor", "k1", "k2", "pos", "shape"])
 
     return docs.select("did", "tkey", "text").mapInArrow(scan, RUN_SCHEMA)
 
 
-def window_rows(docs: DataFrame, shape: Shape) -> DataFrame:
-    """Hashes of single windows, for documents that carry ``runs`` array<struct<pos,n>>."""
+def phrase_rows(docs: DataFrame, shape: Shape) -> DataFrame:
+    """The phrases of documents that carry ``runs`` array<struct<pos,shape,anchor,block>>."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             did, tkey = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for block in blocks(batch.column(2), WINDOW_BYTES):
+            for block in blocks(batch.column(2)):
+                values, bounds = shape.raw(block)
                 part = batch.column(3).slice(block.first, block.last - block.first)
-                pos, n = (part.flatten().field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
                 counts = part.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-                row, pos, w1, w2 = shape.windows(block, np.repeat(np.arange(len(counts)), counts), pos.astype(np.int64), n.astype(np.int64))
+                pos, packed, anchor, dealt = (part.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(4))
+                row = np.repeat(np.arange(len(counts)), counts)
+                start = bounds[row] + pos
+                gram = start + (packed >> 16)
+                stop = start + (packed & 0xFFFF) + shape.window - 1
+                found = [values[i:g].tobytes() + values[g + shape.gram : j].tobytes() for i, g, j in zip(start.tolist(), gram.tolist(), stop.tolist(), strict=True)]
                 row = row + block.first
-                yield pa.RecordBatch.from_arrays([pa.array(did[row]), pa.array(tkey[row]), _int(pos), as_long(w1), _low(w2)], names=["did", "tkey", "pos", "w1", "w2"])
+                yield pa.RecordBatch.from_arrays([pa.array(dealt), pa.array(anchor), pa.array(did[row]), pa.array(tkey[row]), _int(pos), _int(packed), pa.array(found, pa.binary())], names=["block", "anchor", "did", "tkey", "pos", "shape", "symbols"])
+
+    return docs.select("did", "tkey", "text", "runs").mapInArrow(scan, PHRASE_SCHEMA)
 
-    return docs.select("did", "tkey", "text", "runs").mapInArrow(scan, "did long, tkey long, pos int, w1 long, w2 int")
 
+def window_rows(phrases: DataFrame, shape: Shape, kind: type) -> DataFrame:
+    """Hashes of the single windows of phrases, over their anchor, the symbols before it and those after it."""
 
-def repeated_spans(docs: DataFrame, shape: Shape, keep_first: bool) -> DataFrame:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            for i in range(0, len(table), BLOCK_PHRASES):
+                part = table.slice(i, BLOCK_PHRASES)
+                raw = [np.frombuffer(x, kind) for x in part.column("symbols").to_pylist()]
+                bounds = np.concatenate(([0], np.cumsum([len(x) for x in raw])))
+                # Codes from the values alone, so that they agree in all tasks.
+                symbols = mix(np.concatenate(raw).astype(np.uint64) + np.uint64(1))
+                did, tkey, pos, packed, anchor = (part.column(c).to_numpy() for c in ("did", "tkey", "pos", "shape", "anchor"))
+                n, before = packed & 0xFFFF, packed >> 16
+                row, skip = np.repeat(np.arange(len(n)), n), np.repeat(np.cumsum(n) - n, n)
+                offset = np.arange(len(row)) - skip
+                start, length = bounds[row] + offset, shape.least - 1
+                # A window is told by its anchor, where that lies, and the symbols around it.
+                seed = anchor.view(np.uint64)[row] + (before[row] - offset).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                w1, w2 = (mix(seed ^ f.ranges(f.sums(symbols), start, start + length)) for f in (base(3), base(4)))
+                yield pa.RecordBatch.from_arrays([pa.array(did[row]), pa.array(tkey[row]), _int(pos[row] + offset), as_long(w1), _low(w2)], names=["did", "tkey", "pos", "w1", "w2"])
+
+    return phrases.select("did", "tkey", "pos", "shape", "anchor", "symbols").mapInArrow(scan, "did long, tkey long, pos int, w1 long, w2 int")
+
+
+def join_keys(rows: DataFrame, keys: DataFrame, on: list[str], weight: str) -> DataFrame:
+    """rows joined with keys, which has one row a key and in ``weight`` how many of rows have it.
+
+    Keys above a 2048th of all that weight, fewer than 2048, are broadcast, so
+    that none of them fills a task; the others meet their rows by a shuffle.
+    """
+    total = keys.agg(F.sum(weight)).first()[0] or 0
+    heavy = keys.where(F.col(weight) * HEAVY_SHARE > total)
+    if heavy.count() == 0:
+        return rows.join(keys, on)
+    light = rows.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(keys.where(F.col(weight) * HEAVY_SHARE <= total), on)
+    return rows.join(F.broadcast(heavy), on).unionByName(light)
+
+
+def repeated_spans(docs: DataFrame, shape: Shape, kind: type, keep_first: bool, block_phrases: int = BLOCK_PHRASES, most_kinds: int = MOST_KINDS) -> DataFrame:
     """``did, tkey, pos, len``: stretches of symbols covered by repeated windows; they may overlap.
 
-    docs: as ``rows.keyed`` makes them. keep_first: a window counts only if an
-    equal one starts earlier (smaller did, or same document and smaller pos);
-    otherwise it counts if an equal one starts anywhere else.
+    docs: as ``rows.keyed`` makes them; kind: numpy type of a symbol.
+    keep_first: a window counts only if an equal one starts earlier (smaller
+    did, or same document and smaller pos); otherwise it counts if an equal one
+    starts anywhere else.
     """
     runs = materialize(run_rows(docs, shape), "runs")
-    anchors = materialize(runs.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"), "anchors")
-    shared = materialize(runs.join(anchors, "anchor", "left_semi"), "shared")
+    anchors = materialize(runs.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1"), "anchors")
+    shared = materialize(join_keys(runs, anchors, ["anchor"], "times").drop("times"), "shared")
     release(runs, anchors)
     place = F.struct("did", "tkey", "pos")
-    classes = materialize(shared.groupBy("anchor", "k1", "k2").agg(F.count("*").alias("members"), F.min(place).alias("head"), F.min("n").alias("n")), "classes")
+    classes = materialize(shared.groupBy("anchor", "k1", "k2").agg(F.count("*").alias("members"), F.min(place).alias("head"), F.min("shape").alias("shape")), "classes")
 
-    content = classes.where("members > 1").select("k1", "k2", "head")
-    whole = shared.join(content, ["k1", "k2"])
+    whole = join_keys(shared, classes.where("members > 1").select("k1", "k2", "head", "members"), ["k1", "k2"], "members")
     if keep_first:
         whole = whole.where(F.struct("did", "tkey", "pos") != F.col("head"))
-    whole = whole.select("did", "tkey", "pos", (F.col("n") + (shape.window - 1)).alias("len"))
-
-    mixed = classes.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
-    border = classes.join(mixed, "anchor", "left_semi").select("head.*", "n")
-    border = border.groupBy("did", "tkey").agg(F.sort_array(F.collect_list(F.struct("pos", "n"))).alias("runs"))
-    single = materialize(window_rows(docs.join(border, ["did", "tkey"]), shape), "windows")
-    times = F.count("*").alias("times")
-    found = single.groupBy("w1", "w2").agg(*[times, F.min(place).alias("head")] if keep_first else [times]).where("times > 1").drop("times")
-    single = single.join(materialize(found, "found"), ["w1", "w2"])
-    if keep_first:
-        single = single.where(F.struct("did", "tkey", "pos") != F.col("head"))
-    spans = materialize(whole.unionByName(single.select("did", "tkey", "pos", F.lit(shape.window).alias("len"))), "spans")
-    release(shared, classes)
+    whole = whole.select("did", "tkey", "pos", (F.col("shape").bitwiseAND(0xFFFF) + (shape.window - 1)).alias("len"))
+
+    kinds = materialize(classes.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "kinds")
+    rows = kinds.where(F.col("kinds") <= most_kinds).agg(F.sum("kinds")).first()[0] or 0
+    block = F.when(F.col("kinds") <= most_kinds, F.pmod(F.xxhash64("anchor"), F.lit(-(-rows // block_phrases) or 1).cast("long"))).otherwise(F.lit(-1).cast("long"))
+    border = join_keys(classes, kinds, ["anchor"], "kinds").select("head.*", F.struct(F.col("head.pos").alias("pos"), "shape", "anchor", block.alias("block")).alias("run"))
+    border = border.groupBy("did", "tkey").agg(F.sort_array(F.collect_list("run")).alias("runs"))
+    phrases = materialize(phrase_rows(docs.join(border, ["did", "tkey"]), shape), "phrases")
+
+    def compare(table: pa.Table) -> pa.Table:
+        found = Phrases.of(table, kind)
+        return found.spans(shape.compare(found, shape.least), shape.window)
+
+    parts = [whole, phrases.where("block >= 0").groupBy("block").applyInArrow(compare, SPAN_SCHEMA)]
+    if not phrases.where("block < 0").isEmpty():
+        single = materialize(window_rows(phrases.where("block < 0"), shape, kind), "windows")
+        found = single.groupBy("w1", "w2").agg(F.count("*").alias("times"), F.min(place).alias("head")).where("times > 1")
+        single = join_keys(single, materialize(found, "found"), ["w1", "w2"], "times")
+        if keep_first:
+            single = single.where(F.struct("did", "tkey", "pos") != F.col("head"))
+        parts.append(single.select("did", "tkey", "pos", F.lit(shape.window).alias("len")))
+    spans = parts[0]
+    for part in parts[1:]:
+        spans = spans.unionByName(part)
+    spans = materialize(spans, "spans")
+    release(shared, classes, kinds, phrases)
     return spans
 
 

@@ -1,8 +1,10 @@
 """The training-data operators against brute force on small texts with awkward rows."""
 
 import hashlib
+import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,18 +44,76 @@ def test_substring_dedup(spark):
     assert substring_dedup.substring_dedup(docs_of(spark, TEXTS).limit(0)).count() == 0
 
 
+def brute_bytes(texts, length):
+    raw = [(i, (t or "").encode()) for i, t in texts]
+    count = Counter(b[p : p + length] for _, b in raw for p in range(len(b) - length + 1))
+    out = {}
+    for i, b in raw:
+        gone = bytearray(len(b))
+        for p in range(len(b) - length + 1):
+            if count[b[p : p + length]] > 1:
+                gone[p : p + length] = b"\1" * length
+        out[i] = (len(b), sum(gone), len([x for x in bytes(gone).split(b"\0") if x]), bytes(x for x, g in zip(b, gone, strict=True) if not g))
+    return out
+
+
 def test_repeated_bytes(spark):
     texts = [t for t in TEXTS if t[0] != 10]
-    got = {r.doc_id: r for r in suffix_dedup.repeated_bytes(docs_of(spark, texts), 50, 30).collect()}
-    raw = {i: (t or "").encode() for i, t in texts}
-    count = Counter(b[p : p + 50] for b in raw.values() for p in range(len(b) - 49))
-    for i, b in raw.items():
-        gone = bytearray(len(b))
-        for p in range(len(b) - 49):
-            if count[b[p : p + 50]] > 1:
-                gone[p : p + 50] = b"\1" * 50
-        assert bytes(got[i].kept) == bytes(x for x, g in zip(b, gone, strict=True) if not g)
-        assert got[i].n_spans == len([x for x in bytes(gone).split(b"\0") if x])
+    got = suffix_dedup.repeated_bytes(docs_of(spark, texts), 50, 30).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got} == brute_bytes(texts, 50)
+    assert suffix_dedup.repeated_bytes(docs_of(spark, texts).limit(0)).count() == 0
+
+
+def passages():
+    """One passage inside many texts that go on differently, or alike for a while, and some copies of it."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randint(1, 3)))
+    passage = [word() for _ in range(60)]
+    tails = [[word() for _ in range(40)] for _ in range(4)]
+    texts = []
+    for i in range(90):
+        a, b = sorted((rng.randrange(60), rng.randrange(60)))
+        tail = tails[rng.randrange(4)][: rng.randrange(40)]
+        texts.append((i, " ".join([word() for _ in range(rng.randrange(30))] + passage[a // 3 : b + 20] + tail + [word() for _ in range(rng.randrange(30))])))
+    return [*texts, (90, texts[3][1]), (91, " ".join(passage * 3)), (92, None), (93, "")]
+
+
+@pytest.mark.parametrize(("blocks", "kinds"), [(1024, 1024), (8, 1024), (16, 3)])
+def test_repeats_of_a_common_passage(spark, blocks, kinds, monkeypatch):
+    """In one block, in many, and with anchors of too many contents for one; shards of four phrases."""
+    monkeypatch.setattr(suffix_dedup, "SHARD_PHRASES", 4)
+    texts = passages()
+    docs = docs_of(spark, texts)
+    got = suffix_dedup.repeated_bytes(docs, 50, 35, blocks, kinds).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got} == brute_bytes(texts, 50)
+    got = substring_dedup.substring_dedup(docs, 12, 5, blocks, kinds).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept.encode()) for r in got} == brute_words(texts, 12)
+
+
+def block_of(strings):
+    codes = [ord(c) for s in strings for c in s]
+    bounds = np.cumsum([0, *map(len, strings)])
+    none = np.zeros(len(strings), np.int64)
+    return repeats.Phrases(none, none, none, none, np.array(codes, np.int64), bounds)
+
+
+def test_transforms_merge_to_the_sorted_suffixes():
+    strings = ["abracadabra", "cadabraab", "brac", "a", "zzzz", "abracadab"]
+    phrases = block_of(strings)
+    shards = [suffix_dedup.Transform(phrases, i, i + 2) for i in (0, 2, 4)]
+    at, common = suffix_dedup.merge(shards, 99)
+    suffixes = sorted((s[i:], k, i) for k, s in enumerate(strings) for i in range(len(s)))
+    # Equal suffixes end in marks of their own, which stand in order of the strings.
+    assert [int(x) for x in at[len(strings) :]] == [int(phrases.bounds[k]) + i for _, k, i in suffixes]
+    shared = lambda x, y: next((i for i, (a, b) in enumerate(zip(x, y, strict=False)) if a != b), min(len(x), len(y)))
+    assert list(common[len(strings) + 1 :]) == [shared(x[0], y[0]) for x, y in zip(suffixes, suffixes[1:], strict=False)]
+
+
+def test_greedy_factors():
+    phrases = block_of(["abcabcx", "bcxabq", "q"])
+    reference = substring_dedup.Reference(phrases)
+    start, length = substring_dedup.factors(reference.longest, phrases.bounds)
+    assert sorted(zip(start.tolist(), length.tolist(), strict=True)) == [(0, 1), (1, 1), (2, 1), (3, 3), (6, 1), (7, 3), (10, 2), (12, 1), (13, 1)]
 
 
 def test_near_dedup(spark):
@@ -224,8 +284,6 @@ def test_pii(spark):
 
 @pytest.mark.parametrize("window", [4, 9])
 def test_sliding_min(window):
-    import numpy as np
-
     x = np.random.default_rng(1).integers(0, 1000, 50, dtype=np.uint64)
     assert list(repeats.sliding_min(x, window)) == [min(x[i : i + window]) for i in range(50 - window + 1)]
 
