@@ -5,14 +5,20 @@ of documents arrive in doc_id order: the keys of a batch are anti-joined with
 every run, what is new becomes a run of level 0, and whenever a level holds
 ``fan_out`` runs they are merged into one run of the next level. A key's owner
 is thus the smallest document that ever held it.
+
+Runs are bucketed by key and sorted within their buckets, so anti-joins and
+merges read them in place: only the keys of a batch are shuffled, once.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..functions.expr import let
+from ..session import materialize, release, scratch_root
 from .rows import NULL_IDS, keyed
 
 BLANK_CHARS = " \t\n\x0b\x0c\r"
@@ -43,7 +49,7 @@ class LineRuns:
         """Merge-anti-join keys(k1, k2, owner), distinct, with each run; what is new becomes a run and is returned."""
         for run in self.runs:
             keys = keys.join(run.select("k1", "k2"), ["k1", "k2"], "left_anti")
-        new = materialize(keys.select("k1", "k2", "owner").sortWithinPartitions("k1", "k2"), "run")
+        new = write_run(keys.select("k1", "k2", "owner"))
         self._put(0, new)
         return new
 
@@ -52,11 +58,38 @@ class LineRuns:
             self.levels.append([])
         self.levels[level].append(run)
         if len(self.levels[level]) >= self.fan_out:
-            merged = self.levels[level][0]
-            for other in self.levels[level][1:]:
-                merged = merged.unionByName(other)
-            self.levels[level] = []
-            self._put(level + 1, materialize(merged.repartition("k1").sortWithinPartitions("k1", "k2"), "run"))
+            parts, self.levels[level] = self.levels[level], []
+            merged = parts[0]
+            for other in parts[1:]:
+                # Keys of two runs never meet, so the full join of their sorted buckets is their merge.
+                both = merged.join(other.withColumnRenamed("owner", "later"), ["k1", "k2"], "full")
+                merged = both.select("k1", "k2", F.coalesce("owner", "later").alias("owner"))
+            self._put(level + 1, write_run(merged))
+            drop_runs(parts)
+
+    def drop(self) -> None:
+        """Delete all runs."""
+        drop_runs(self.runs)
+        self.levels = []
+
+
+def write_run(keys: DataFrame) -> DataFrame:
+    """keys as a table in the shared folder, in as many buckets of (k1, k2) as a shuffle has partitions, each sorted."""
+    spark = keys.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"cairn_run_{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{name}"
+    dealt = keys.repartition(buckets, "k1", "k2")
+    dealt.write.format("parquet").bucketBy(buckets, "k1", "k2").sortBy("k1", "k2").option("path", path).saveAsTable(name)
+    run = spark.table(name)
+    run._cairn_path, run._cairn_table = path, name
+    return run
+
+
+def drop_runs(runs: list[DataFrame]) -> None:
+    for run in runs:
+        run.sparkSession.sql(f"DROP TABLE IF EXISTS {run._cairn_table}")
+    release(*runs)
 
 
 def line_array(text: Column) -> Column:
@@ -68,10 +101,9 @@ def line_key(line: Column) -> Column:
 
 
 def key_rows(rows: DataFrame, min_chars: int) -> DataFrame:
-    """``did, tkey, k1, k2``: keys of each document's lines, each key once a document, as two 64-bit hashes."""
-    keys = F.filter(F.transform(line_array(F.col("text")), line_key), lambda k: F.char_length(k) >= min_chars)
-    lines = rows.select("did", "tkey", F.explode(F.array_distinct(keys)).alias("k"))
-    return lines.select("did", "tkey", F.xxhash64("k").alias("k1"), F.xxhash64(F.lit(1), "k").alias("k2"))
+    """``did, tkey, pos, k1, k2``: each line with a key long enough, its key as two 64-bit hashes."""
+    lines = rows.select("did", "tkey", F.posexplode(F.transform(line_array(F.col("text")), line_key)).alias("pos", "k"))
+    return lines.where(F.char_length("k") >= min_chars).select("did", "tkey", "pos", F.xxhash64("k").alias("k1"), F.xxhash64(F.lit(1), "k").alias("k2"))
 
 
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCHES, runs: LineRuns | None = None) -> DataFrame:
@@ -93,23 +125,23 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCH
     """
     rows = keyed(docs)
     held = materialize(key_rows(rows, min_chars), "linekeys")
-    runs = LineRuns() if runs is None else runs
+    own, runs = runs is None, LineRuns() if runs is None else runs
     for batch in _batches(rows, held, batches):
         runs.add(batch.groupBy("k1", "k2").agg(F.min("did").alias("owner")))
     owners = runs.owners()
     foreign = held if owners is None else held.join(owners, ["k1", "k2"]).where("owner < did")
-    # Only the keys that a document loses are gathered, and one document's keys are bounded by its text.
-    lost = foreign.groupBy("did", "tkey").agg(F.collect_set(F.struct("k1", "k2")).alias("lost"))
+    # Only the lines that a document loses are gathered, and they are bounded by its text.
+    lost = foreign.groupBy("did", "tkey").agg(F.sort_array(F.collect_set("pos")).alias("lost"))
+    lost = materialize(lost, "lostlines")
+    if own:
+        runs.drop()
+    release(held)
     joined = rows.join(lost, ["did", "tkey"], "left")
     lines = line_array(F.col("text"))
-    hashes = F.transform(lines, lambda x: F.struct(F.xxhash64(line_key(x)).alias("k1"), F.xxhash64(F.lit(1), line_key(x)).alias("k2")))
-    marked = joined.withColumn("lines", lines).withColumn("dropped", F.when(F.col("lost").isNull(), F.array().cast("array<int>")).otherwise(_positions(hashes, F.col("lost"))))
-    kept = F.when(F.size("dropped") == 0, F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.filter("lines", lambda x, i: ~F.array_contains("dropped", i)), "\n"))
-    return marked.select("doc_id", "did", "tkey", F.size("lines").cast("long").alias("n_lines"), "dropped", kept.alias("kept"))
-
-
-def _positions(hashes: Column, lost: Column) -> Column:
-    return F.filter(F.transform(hashes, lambda h, i: F.when(F.array_contains(lost, h), i)), lambda i: i.isNotNull())
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("lost"))
+    kept = F.when(F.col("lost").isNull(), F.coalesce("text", F.lit(""))).otherwise(let(lines, lambda x: F.array_join(F.transform(stay, lambda i: F.get(x, i)), "\n")))
+    dropped = F.coalesce("lost", F.array().cast("array<int>"))
+    return joined.select("doc_id", "did", "tkey", F.size(lines).cast("long").alias("n_lines"), dropped.alias("dropped"), kept.alias("kept"))
 
 
 def _batches(rows: DataFrame, held: DataFrame, batches: int) -> list[DataFrame]:

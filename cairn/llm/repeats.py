@@ -35,12 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, release
+from .rows import join_keys
 from .textkernel import MAX, Block, as_long, base, blocks, mix, word_hashes, words
 
 #: Phrases of a block on average, and contents of an anchor up to which it is part of a block.
 BLOCK_PHRASES, MOST_KINDS = 1024, 1024
-#: A key with more than this share of all rows is joined by broadcast; there are fewer than 2048 of them.
-HEAVY_SHARE = 2048
 #: shape packs two small numbers: windows of the run, and symbols before its anchor (times 65536).
 RUN_SCHEMA = "did long, tkey long, anchor long, k1 long, k2 int, pos int, shape int"
 PHRASE_SCHEMA = "block long, anchor long, did long, tkey long, pos int, shape int, symbols binary"
@@ -258,20 +257,6 @@ def window_rows(phrases: DataFrame, shape: Shape, kind: type) -> DataFrame:
     return phrases.select("did", "tkey", "pos", "shape", "anchor", "symbols").mapInArrow(scan, "did long, tkey long, pos int, w1 long, w2 int")
 
 
-def join_keys(rows: DataFrame, keys: DataFrame, on: list[str], weight: str) -> DataFrame:
-    """rows joined with keys, which has one row a key and in ``weight`` how many of rows have it.
-
-    Keys above a 2048th of all that weight, fewer than 2048, are broadcast, so
-    that none of them fills a task; the others meet their rows by a shuffle.
-    """
-    total = keys.agg(F.sum(weight)).first()[0] or 0
-    heavy = keys.where(F.col(weight) * HEAVY_SHARE > total)
-    if heavy.count() == 0:
-        return rows.join(keys, on)
-    light = rows.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(keys.where(F.col(weight) * HEAVY_SHARE <= total), on)
-    return rows.join(F.broadcast(heavy), on).unionByName(light)
-
-
 def repeated_spans(docs: DataFrame, shape: Shape, kind: type, keep_first: bool, block_phrases: int = BLOCK_PHRASES, most_kinds: int = MOST_KINDS) -> DataFrame:
     """``did, tkey, pos, len``: stretches of symbols covered by repeated windows; they may overlap.
 
@@ -303,7 +288,10 @@ def repeated_spans(docs: DataFrame, shape: Shape, kind: type, keep_first: bool,
         found = Phrases.of(table, kind)
         return found.spans(shape.compare(found, shape.least), shape.window)
 
-    parts = [whole, phrases.where("block >= 0").groupBy("block").applyInArrow(compare, SPAN_SCHEMA)]
+    # A number of its own, as few bytes of phrases take long: adaptive execution would join their small partitions.
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // (16 * block_phrases))
+    dealt = phrases.where("block >= 0").repartition(tasks, "block")
+    parts = [whole, dealt.groupBy("block").applyInArrow(compare, SPAN_SCHEMA)]
     if not phrases.where("block < 0").isEmpty():
         single = materialize(window_rows(phrases.where("block < 0"), shape, kind), "windows")
         found = single.groupBy("w1", "w2").agg(F.count("*").alias("times"), F.min(place).alias("head")).where("times > 1")

@@ -1,7 +1,10 @@
 """The training-data operators against brute force on small texts with awkward rows."""
 
 import hashlib
+import json
 import random
+import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -200,6 +203,25 @@ def test_line_dedup(spark):
     line_dedup.line_dedup(docs_of(spark, texts), runs=runs)
     later = line_dedup.line_dedup(docs_of(spark, [(9, "own one here ok\nnew line of ours")]), runs=runs)
     assert later.first()["kept"] == "new line of ours"
+    assert line_dedup.line_dedup(docs_of(spark, texts).limit(0)).count() == 0
+
+
+def test_runs_are_not_shuffled(spark):
+    """An anti-join with a run, and the merge of two, read the run's sorted buckets in place."""
+    keys = lambda low, high: spark.range(low, high).selectExpr("xxhash64(id) AS k1", "xxhash64(id, 1) AS k2", "id AS owner")
+    runs = line_dedup.LineRuns(fan_out=3)
+    runs.add(keys(0, 100))
+    runs.add(keys(50, 200))
+    one, two = runs.runs
+    assert (one.count(), two.count()) == (100, 100)
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    assert exchanges(one.join(two, ["k1", "k2"], "full")) == 0
+    assert exchanges(keys(0, 9).groupBy("k1", "k2").agg(F.min("owner")).join(one, ["k1", "k2"], "left_anti").join(two, ["k1", "k2"], "left_anti")) == 1
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    runs.add(keys(150, 300))
+    assert len(runs.runs) == 1 and runs.owners().where("owner = pmod(owner, 300)").count() == 300
+    runs.drop()
 
 
 def test_identity_is_wider_than_32_bits(spark):
@@ -256,8 +278,11 @@ def test_language_id(spark):
     assert language_id.language_id(docs.limit(0)).count() == 0
 
 
+MESSAGE = "conv string, seq long, kind string, role string, call_id string, tool string, args map<string,string>, content string, after array<string>"
+TOOL = "tool string, arg string, type string, required boolean"
+
+
 def test_chat(spark):
-    kind = "conv string, seq long, kind string, role string, call_id string, tool string, args map<string,string>, content string, after array<string>"
     data = [
         ("c", 0, "call", "assistant", "1", "add", {"y": "2", "x": "1"}, None, []),
         ("c", 1, "call", "assistant", "2", "add", {"x": '"s"'}, None, ["1"]),
@@ -266,20 +291,140 @@ def test_chat(spark):
         ("c", 4, "result", "tool", "9", None, None, None, None),
         ("c", 5, "message", "user", None, None, None, "ok", None),
     ]
-    schemas = spark.createDataFrame([("add", "x", "number", True), ("add", "y", "number", False)], "tool string, arg string, type string, required boolean")
-    got = {r.seq: r for r in chat_format.link_tool_calls(spark.createDataFrame(data, kind), schemas).collect()}
+    # Repeated rows, rows without argument or tool, and a tool without arguments.
+    schemas = spark.createDataFrame([("add", "x", "number", True), ("add", "x", "number", True), ("add", "y", "number", False), ("add", None, "number", True), (None, "z", "number", True), ("none", None, None, None)], TOOL)
+    got = {r.seq: r for r in chat_format.link_tool_calls(spark.createDataFrame(data, MESSAGE), schemas).collect()}
     assert got[0].json == '{"arguments":{"x":1,"y":2},"id":"1","name":"add","role":"assistant","type":"call"}'
     assert [got[i].level for i in range(4)] == [0, 2, 3, 1] and [got[i].valid for i in (0, 1)] == [True, False]
     assert [got[i].linked for i in range(6)] == [True, True, True, True, False, None]
+    empty = spark.createDataFrame([], MESSAGE)
+    assert chat_format.link_tool_calls(empty, schemas).count() == 0
+    assert not any(r.valid for r in chat_format.link_tool_calls(spark.createDataFrame(data, MESSAGE), schemas.limit(0)).collect())
+
+
+def test_chat_arguments_are_json(spark):
+    """Literal, whether it is valid, and how it is written."""
+    cases = [
+        ('{"b": 1,  "a": {"z": [1, 2 ], "y": null}}', '{"a":{"y":null,"z":[1,2]},"b":1}'), ("not json", None), ("", None), ("1 2", None), ("1,2", None), ("1],[2", None), ('1},{"a":2', None), ('1,"w":2', None),
+        ('{"a":1,"a":2}', None), ("1e400", None), ("NaN", None), ("[1,]", None), (" 5 ", "5"), ("-1.50", "-1.5"), ('"\\u00e9"', '"é"'), ("true", "true"), (None, "null"), ("[]", "[]"), ('"Infinity"', '"Infinity"'),
+    ]
+    kinds = ("object", "array", "string", "number", "boolean", "null")
+    schemas = spark.createDataFrame([("t", "x", k, True) for k in kinds], TOOL)
+    data = [("c", i, "call", "a", str(i), "t", {"x": literal}, None, None) for i, (literal, _) in enumerate(cases)]
+    for r in chat_format.link_tool_calls(spark.createDataFrame(data, MESSAGE), schemas).collect():
+        literal, want = cases[r.seq]
+        assert r.valid == (want is not None), literal
+        value = json.loads(r.json)["arguments"]["x"]
+        assert value == literal if want is None else r.json.startswith('{"arguments":{"x":' + want + '},"id"'), literal
+
+
+def test_chat_levels(spark):
+    """Chains longer than any number of rounds, calls with several needs, cycles, ties: against a plain search."""
+    rng = random.Random(3)
+    needs = {i: [i - 1] if i else [] for i in range(150)}  # One chain.
+    needs |= {200 + i: sorted({200 + rng.randrange(i) for _ in range(rng.randrange(4))}) if i else [] for i in range(60)}
+    needs |= {300: [302], 301: [300], 302: [301], 303: [302, 200], 304: [303], 305: [305], 306: [305], 307: [200, 306], 308: [999, 200], 309: [999]}
+    unanswered = {210, 999}
+
+    def level(i, path=()):
+        known = [n for n in needs[i] if n in needs and n not in unanswered]
+        if i in unanswered or not known:
+            return 0
+        if i in path:
+            return -1
+        below = [level(n, (*path, i)) for n in known]
+        return -1 if min(below) < 0 else max(below) + 2
+
+    data = []
+    for i, need in needs.items():
+        data.append(("c", 2 * i, "call", "a", str(i), "t", {}, None, [str(n) for n in need] + [str(n) for n in need[:1]]))
+        if i not in unanswered:
+            data.append(("c", 2 * i + 1, "result", "t", str(i), None, None, "x", None))
+    data += [("c", 5000, "call", "a", "0", "t", None, None, ["149"]), (None, 1, "call", "a", "1", "t", None, None, ["1"]), ("c", 5001, "call", "a", None, "t", None, None, [None])]
+    schemas = spark.createDataFrame([("t", None, None, None)], TOOL)
+    got = chat_format.link_tool_calls(spark.createDataFrame(data, MESSAGE), schemas).where("conv = 'c' and seq < 5000").collect()
+    assert len(got) == len(data) - 3 and all(r.valid for r in got if r.kind == "call")
+    for r in got:
+        base = level(int(r.call_id))
+        assert r.level == (base if r.kind == "call" or base < 0 else base + 1), r
+
+
+def test_chat_turns(spark):
+    """The last call before a turn is found across stretches."""
+    roles = ["system", "user", "assistant"] + ["user", "assistant"] * 3 + ["system"] * 5 + ["assistant", "user", None]
+    data = [("7", i * 700, role, f"t{i}") for i, role in enumerate(roles)] + [("7", None, "user", "no number"), (None, 3, "user", "no conversation")]
+    made = chat_format.turns_as_calls(spark.createDataFrame(data, "conv_id string, turn long, role string, text string")).where("conv = 7 and seq is not null").collect()
+    last = None
+    for r in sorted(made, key=lambda r: r.seq):
+        assert r.after == ([str(last)] if r.kind == "call" and last is not None else [])
+        last = r.seq if r.kind == "call" else last
+        assert r.call_id == (None if r.kind == "message" else str(last))
 
 
 def test_pii(spark):
-    texts = [(1, "mail Ann.B@ex.example.com or 1.2.3.4, card 4111 1111 1111 1111"), (2, "mail ann.b@ex.example.com, card 4111111111111111, call +1 (743) 555-3824"), (3, None), (4, ""), (5, "clean 12 text")]
+    texts = [(1, "mail Ann.B@ex.example.com or 1.2.3.4, card 4111 1111 1111 1111"), (2, "mail ann.b@ex.example.com, card 4111111111111111, call +1 (743) 555-3824"), (3, None), (4, ""), (5, "clean 12 text, order 1234567890123456")]
     got = {r.doc_id: r for r in pii.replace_pii(docs_of(spark, texts)).collect()}
-    assert got[3].text is None and got[4].text == "" and got[5].text == texts[4][1]
-    assert "1.2.3.4" not in got[1].text and "4111" not in got[1].text.split("card")[1] and "743" not in got[2].text
+    assert got[3].text is None and got[4].text == "" and got[5].text == texts[4][1] and got[5].n_entities == 0
+    assert "1.2.3.4" not in got[1].text and "4111" not in got[1].text.split("card 4")[1] and "743" not in got[2].text
     assert got[1].text.split("card ")[1].replace(" ", "") == got[2].text.split("card ")[1].split(",")[0]
     assert got[1].text.split()[1].lower() == got[2].text.split()[1].rstrip(",").lower()
+    assert pii.replace_pii(docs_of(spark, texts).limit(0)).count() == 0
+
+
+def luhn(number):
+    digits = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(number))]
+    return sum(d - 9 * (d > 9) for d in digits) % 10
+
+
+def valid_iban(number):
+    return int("".join(str(int(c, 36)) for c in number[4:] + number[:4])) % 97 == 1
+
+
+def test_pii_keeps_distinctness_format_and_coreference(spark):
+    rng = random.Random(9)
+    cards = [c for c in ("4" + "".join(rng.choice("0123456789") for _ in range(15)) for _ in range(900)) if luhn(c) == 0][:60]
+    ibans = ["DE89370400440532013000", "GB82WEST12345698765432"]
+    ips = [f"10.0.{i}.{i}" for i in range(40)]
+    phones = [f"+1 (743) 555-{1000 + i}" for i in range(40)]
+    spaced = lambda c: " ".join(c[i : i + 4] for i in range(0, len(c), 4))
+    texts = [(i, f"{c} then {spaced(c)}") for i, c in enumerate(cards)] + [(100 + i, f"{c} then {spaced(c)}") for i, c in enumerate(ibans)]
+    texts += [(200 + i, x) for i, x in enumerate(ips)] + [(300 + i, x) for i, x in enumerate(phones)]
+    texts += [(400, "Mr John Smith met Mr Smith and MR SMITH; Mrs Anna Smith left. Dr. Łukasz Żak came, Herr Иван Петров too"), (None, "Mr Smith"), (None, "Mr Smith"), (401, "Sra Smith"), (402, "DE89370400440532013001 4111111111111112")]
+    got = {}
+    for r in pii.replace_pii(docs_of(spark, texts)).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    made = {i: r[0].text for i, r in got.items()}
+    for first, old, check in ((0, cards, lambda x: luhn(x) == 0), (100, ibans, valid_iban)):
+        new = [made[first + i].split(" then ") for i in range(len(old))]
+        assert all(spaced(a) == b and check(a) and len(a) == len(o) and a[0] == o[0] for (a, b), o in zip(new, old, strict=True))
+        assert len({a for a, _ in new}) == len(old) and not {a for a, _ in new} & set(old)
+    for first, old in ((200, ips), (300, phones)):
+        new = [made[first + i] for i in range(len(old))]
+        assert len(set(new)) == len(old) and not set(new) & set(old)
+    assert all(re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", made[300 + i]) for i in range(40))
+    assert made[402] == texts[-1][1] and got[402][0].n_entities == 0
+    m = re.fullmatch(r"Mr (\w+) (\w+) met Mr (\w+) and MR SMITH; Mrs (\w+) (\w+) left. Dr. (\w+) (\w+) came, Herr (\w+) (\w+) too", made[400])
+    john, smith, again, anna, smith3, lukasz, zak, ivan, petrov = m.groups()
+    assert smith == again == smith3 == made[None].split()[1] == made[401].split()[1] and len({john, smith, anna, lukasz, zak}) == 5
+    assert not {john, smith, anna, lukasz, zak} & {"John", "Smith", "Anna", "Łukasz", "Żak"} and anna.endswith("a") and not john.endswith("a")
+    assert re.fullmatch("[А-я]+", ivan) and re.fullmatch("[А-я]+", petrov) and lukasz.isascii() and zak.isascii()
+    assert [r.text for r in got[None]] == [made[None]] * 2 and got[400][0].n_entities == 5 and list(got[400][0].kinds) == ["name"]
+
+
+def test_pii_marks_never_clash(spark):
+    """More names than two syllables have: the rest takes further attempts, none shares a mark or takes an entity's."""
+    names = [(k, f"n{i:05d}") for k in ("family", "given_f") for i in range(9000)] + [("ssn", f"{i:03d}"[:3]) for i in range(600)]
+    table = pii.surrogate_table(spark.createDataFrame(names, "kind string, normal string"), rounds=6).collect()
+    assert len(table) == len(set(names)) == len({(r.kind, r.mark) for r in table})
+    assert not {(r.kind, r.mark) for r in table} & set(names)
+    assert not any(r.masked for r in table if r.kind != "ssn") and any(r.masked for r in table if r.kind == "ssn")
+
+
+def test_pii_is_linear_in_long_texts(spark):
+    texts = [(1, "a" * 1_000_000), (2, "token=" + "b" * 300_000), (3, "a.b-" * 200_000 + "@"), (4, "4111 " * 100_000)]
+    start = time.time()
+    got = {r.doc_id: r for r in pii.replace_pii(docs_of(spark, texts)).collect()}
+    assert time.time() - start < 60 and got[1].text == texts[0][1] and len(got[2].text) == len(texts[1][1]) != got[2].text.count("b")
 
 
 @pytest.mark.parametrize("window", [4, 9])
