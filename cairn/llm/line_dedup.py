@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import let
 from ..session import materialize, release, scratch_root
-from .rows import NULL_IDS, keyed
+from .rows import NULL_IDS, heavy_keys, join_heavy, keyed
 
 BLANK_CHARS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -129,7 +129,7 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCH
     for batch in _batches(rows, held, batches):
         runs.add(batch.groupBy("k1", "k2").agg(F.min("did").alias("owner")))
     owners = runs.owners()
-    foreign = held if owners is None else held.join(owners, ["k1", "k2"]).where("owner < did")
+    foreign = held if owners is None else join_heavy(held, owners, ["k1", "k2"], heavy_keys(held, ["k1", "k2"])).where("owner < did")
     # Only the lines that a document loses are gathered, and they are bounded by its text.
     lost = foreign.groupBy("did", "tkey").agg(F.sort_array(F.collect_set("pos")).alias("lost"))
     lost = materialize(lost, "lostlines")

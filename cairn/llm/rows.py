@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import materialize, ship
 
 #: Identities of rows without doc_id lie below this, before those of all others.
 NULL_IDS = -(2**62)
@@ -60,8 +60,20 @@ def join_keys(rows: DataFrame, keys: DataFrame, on: list[str], weight: str) -> D
     that none of them fills a task; the others meet their rows by a shuffle.
     """
     total = keys.agg(F.sum(weight)).first()[0] or 0
-    heavy = keys.where(F.col(weight) * HEAVY_SHARE > total)
-    if heavy.count() == 0:
+    return join_heavy(rows, keys, on, keys.where(F.col(weight) * HEAVY_SHARE > total).select(*on))
+
+
+def join_heavy(rows: DataFrame, keys: DataFrame, on: list[str], heavy: DataFrame) -> DataFrame:
+    """rows joined with keys, those of heavy(on), which are few, by broadcast and the others by a shuffle."""
+    if heavy.isEmpty():
         return rows.join(keys, on)
-    light = rows.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(keys.where(F.col(weight) * HEAVY_SHARE <= total), on)
-    return rows.join(F.broadcast(heavy), on).unionByName(light)
+    own = keys.join(F.broadcast(heavy), on, "left_semi")
+    light = rows.join(F.broadcast(heavy), on, "left_anti").join(keys, on)
+    return rows.join(F.broadcast(own), on).unionByName(light)
+
+
+def heavy_keys(rows: DataFrame, on: list[str]) -> DataFrame:
+    """Keys that seem to have more than a 2048th of all rows, by every 64th row. They decide only how a join is carried out."""
+    seen = materialize(rows.sample(1 / 64, seed=1).groupBy(*on).agg(F.count("*").alias("times")).where("times > 8"), "heavy")
+    total = seen.agg(F.sum("times")).first()[0] or 0
+    return seen.where(F.col("times") * HEAVY_SHARE > total).select(*on)
