@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..session import materialize
-from .rows import keyed
+from .rows import join_keys, keyed
 from .textkernel import as_long, base, blocks, lists, mix, word_hashes, words
 
 #: Candidate documents up to which their ids are broadcast to filter the texts (16 bytes each); beyond it they are joined.
@@ -248,9 +248,9 @@ def near_dedup(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
     links = _links(rows, heads, s)
     component = connected_components(links, heads.select("id"))
     named = materialize(heads.select("id", *group, F.struct("unnamed", "did").alias("place")).join(component, "id"), "named")
-    first = named.groupBy("component").agg(F.min("place").alias("first"))
+    first = materialize(named.groupBy("component").agg(F.min("place").alias("first"), F.count("*").alias("sets")), "first")
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
-    named = named.join(first, "component").join(degree, "id", "left").select(*group, "first", "n_links")
+    named = join_keys(named, first, ["component"], "sets").join(degree, "id", "left").select(*group, "first", "n_links")
     kept = ["doc_id", "did", "tkey", "n", "first", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")]
     grouped = made.where("n > 0").select("doc_id", "did", "tkey", *group).join(named, group).select(*kept)
     alone = made.where("n = 0").select("doc_id", "did", "tkey", "n", F.struct(F.col("doc_id").isNull().alias("unnamed"), "did").alias("first"), F.lit(0).cast("long").alias("n_links"))
