@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,39 +25,58 @@ def hamming(x: Column, y: Column) -> Column:
 
 
 def hamming_pairs(prints: DataFrame, threshold: int) -> DataFrame:
-    """a, b, distance of ids a < b within the threshold, for prints(id, words).
-
-    The bits are cut into threshold + 1 pieces: two prints within the threshold
-    agree in one of them, so candidates are found by equality. Pieces below 6
-    bits select nothing; then whole words are compared by their own share of
-    the threshold (some word differs by threshold / words at most), which is
-    the same blocking at a finer threshold. Equal prints are collapsed first.
+    """a, b, distance of ids a < b within the threshold, for prints(id, words) of equal width.
+
+    The bits are cut into m pieces: two prints within the threshold differ by
+    threshold / m bits at most in one of them. A piece is compared not with the
+    other's piece but with all patterns near it: one side posts those within
+    half of that radius, the other those within the other half, and the two
+    meet in one pattern. m is chosen for fewest patterns among pieces of 16 to
+    24 bits, so a pattern stays selective at any threshold. Equal prints are
+    collapsed first.
     """
     heads = materialize(prints.where("words is not null").groupBy("words").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "prints")
     width = heads.selectExpr("max(size(words)) AS w").first()["w"] or 1
-    if 64 * width >= 6 * (threshold + 1):
-        pieces = threshold + 1
-        bounds = [64 * width * i // pieces for i in range(pieces + 1)]
-        keys = F.array(*[F.xxhash64(F.lit(i), *_bits("words", bounds[i], bounds[i + 1])) for i in range(pieces)])
-    else:
-        part = threshold // width
-        cuts = [64 * i // (part + 1) for i in range(part + 2)]
-        keys = F.array(*[F.xxhash64(F.lit(w), F.lit(i), *_bits("words", 64 * w + cuts[i], 64 * w + cuts[i + 1])) for w in range(width) for i in range(part + 1)])
-    posted = heads.select("id", "words", F.explode(keys).alias("key"))
-    sides = [posted.select(F.col("id").alias(x), F.col("words").alias(f"w{x}"), "key") for x in ("a", "b")]
+    bounds, radii = _pieces(64 * width, threshold)
+    sides = [heads.select(F.col("id").alias(x), F.col("words").alias(f"w{x}"), F.explode(_patterns(bounds, radius)).alias("key")) for x, radius in zip(("a", "b"), radii, strict=True)]
     near = sides[0].join(sides[1], "key").where(F.col("a") < F.col("b")).select("a", "b", hamming(F.col("wa"), F.col("wb")).alias("distance")).where(F.col("distance") <= threshold).distinct()
     copies = prints.join(heads.where("copies > 1").select("words", F.col("id").alias("a")), "words").where("a <> id").select("a", F.col("id").alias("b"), F.lit(0).alias("distance"))
     return near.unionByName(copies)
 
 
-def _bits(words: str, start: int, stop: int) -> list[Column]:
-    """The bits [start, stop) of an array of words, as one column for each word they touch."""
+def _pieces(size: int, threshold: int) -> tuple[list[int], tuple[int, int]]:
+    """Bounds of the pieces, and the radius of the patterns that each side posts."""
+
+    def cost(m: int) -> int:
+        radius, wide = threshold // m, -(-size // m)
+        return m * sum(comb(wide, k) for r in (radius - radius // 2, radius // 2) for k in range(r + 1))
+
+    m = min(range(-(-size // 24), size // 16 + 1), key=lambda m: (cost(m), m))
+    radius = threshold // m
+    return [size * i // m for i in range(m + 1)], (radius - radius // 2, radius // 2)
+
+
+def _patterns(bounds: list[int], radius: int) -> Column:
+    """Hashes of (piece, pattern) for all patterns within the radius of each piece of ``words``."""
     out = []
+    for piece, (start, stop) in enumerate(zip(bounds, bounds[1:], strict=False)):
+        masks = [sum(1 << i for i in flips) for k in range(radius + 1) for flips in combinations(range(stop - start), k)]
+        out.append(_near(piece, _bits("words", start, stop), masks))
+    return F.flatten(F.array(*out))
+
+
+def _near(piece: int, value: Column, masks: list[int]) -> Column:
+    return F.transform(F.array(*[F.lit(x).cast("long") for x in masks]), lambda x: F.xxhash64(F.lit(piece), value.bitwiseXOR(x)))
+
+
+def _bits(words: str, start: int, stop: int) -> Column:
+    """The bits [start, stop) of an array of words, fewer than 64, as one number."""
+    out = None
     for w in range(start // 64, (stop - 1) // 64 + 1):
         low, high = max(start - 64 * w, 0), min(stop - 64 * w, 64)
-        mask = (1 << high) - (1 << low)
-        mask = mask - (1 << 64) if mask >= 1 << 63 else mask
-        out.append(F.get(F.col(words), w).bitwiseAND(F.lit(mask).cast("long")))
+        part = F.shiftrightunsigned(F.get(F.col(words), w), low).bitwiseAND(F.lit((1 << (high - low)) - 1).cast("long"))
+        part = F.shiftleft(part, 64 * w + low - start)
+        out = part if out is None else out.bitwiseOR(part)
     return out
 
 

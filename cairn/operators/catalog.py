@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.ranks import numbered
 from ..functions.paths import glob_match, in_directory
 
 
@@ -34,6 +35,13 @@ def split_junk(files: DataFrame, globs: tuple[str, ...] = fixed.JUNK_GLOBS) -> D
     return files.withColumn("junk", glob_match(F.col("name"), globs))
 
 
+def junk_list(junk: DataFrame) -> DataFrame:
+    """path, size, recommend, rank by size from the largest, and ``total_bytes`` of all."""
+    total = junk.agg(F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("total_bytes"), F.lit(1).alias("_k"))
+    ranked = numbered(junk.select("path", "size", F.struct(F.negate("size").alias("s"), "path").alias("_by")), "_by", "rank")
+    return ranked.select("path", "size", F.lit("move").alias("recommend"), "rank", F.lit(1).alias("_k")).join(F.broadcast(total), "_k").drop("_k")
+
+
 def at_least(files: DataFrame, min_size: int = fixed.MIN_SIZE_BYTES) -> DataFrame:
     return files.where(F.col("size") >= min_size)
 

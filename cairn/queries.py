@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import fixed
 from .functions.paths import dirname, human_size, iso_time
-from .operators import archives, bits, catalog, dirs, groups, hashing, incremental, insights, keeper, media, names, sequences, similar, textnorm
+from .operators import archives, bits, catalog, dirs, errors, groups, hashing, incremental, insights, keeper, media, names, sequences, similar, textnorm
 from .operators.components import connected_components
 from .plans import export, moves
 from .plans.doctor import doctor
@@ -279,8 +279,10 @@ def shingle_counts(spark, sf_dir):
 
 
 @query(
-    f"""WITH {NORMAL}, c AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id), p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM sh x JOIN sh y USING (s) WHERE x.doc_id < y.doc_id GROUP BY 1, 2)
-SELECT a, b, common, cx.n + cy.n - common AS joint FROM p JOIN c cx ON a = cx.doc_id JOIN c cy ON b = cy.doc_id WHERE common >= 0.5 * (cx.n + cy.n - common)"""
+    f"""WITH {NORMAL}, c AS (SELECT doc_id, count(*) AS n, md5(string_agg(s, chr(10) ORDER BY s)) AS k FROM sh GROUP BY doc_id), first AS (SELECT k, min(doc_id) AS head FROM c GROUP BY k),
+hs AS (SELECT sh.* FROM sh JOIN first ON doc_id = head), p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM hs x JOIN hs y USING (s) WHERE x.doc_id < y.doc_id GROUP BY 1, 2)
+SELECT a, b, common, cx.n + cy.n - common AS joint FROM p JOIN c cx ON a = cx.doc_id JOIN c cy ON b = cy.doc_id WHERE common >= 0.5 * (cx.n + cy.n - common)
+UNION ALL SELECT head, doc_id, n, n FROM c JOIN first USING (k) WHERE doc_id <> head"""
 )
 def exact_jaccard_pairs(spark, sf_dir):
     return similar.exact_pairs(_normal_files(spark, sf_dir), fixed.TEXT_NEAR_THRESHOLD)
@@ -329,24 +331,59 @@ REACH = "reach AS (SELECT a AS id, a AS r FROM sym UNION SELECT sym.a, reach.r F
 @query(
     f"""WITH RECURSIVE {BANDED[5:]}, sym AS MATERIALIZED (SELECT a, b FROM near WHERE equal >= 32 UNION ALL SELECT b, a FROM near WHERE equal >= 32), {REACH},
 comp AS (SELECT id, min(r) AS component FROM reach GROUP BY id), t AS (SELECT component, id, array_to_string(w, ' ') AS norm, text FROM comp JOIN n ON n.doc_id = id JOIN documents d ON d.doc_id = id),
-ok AS (SELECT component, count(*) AS members FROM t GROUP BY component HAVING count(*) > 1 AND count(DISTINCT norm) > 1 AND count(DISTINCT text) > 1)
-SELECT component AS group_id, id AS doc_id, members FROM t JOIN ok USING (component)"""
+ok AS (SELECT component, count(*) AS members FROM t GROUP BY component HAVING count(*) > 1 AND count(DISTINCT norm) > 1 AND count(DISTINCT text) > 1),
+{CAT}, r AS (SELECT component AS group_id, id AS doc_id, members, path, mtime, 'doc_' || id AS stem FROM t JOIN ok USING (component) JOIN cat ON cat.doc_id = id)
+SELECT group_id, doc_id, members, CASE WHEN row_number() OVER (PARTITION BY group_id ORDER BY {KEEP}, length(path) - length(replace(path, '/', '')), mtime, length(path), path) = 1 THEN 'keep' ELSE 'move' END AS role FROM r"""
 )
 def near_groups(spark, sf_dir):
     files = _normal_files(spark, sf_dir)
     labels = similar.near_clusters(materialize(similar.signatures(files), "sigs"), fixed.TEXT_NEAR_THRESHOLD)
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), hashing.full_hash(F.col("text")).alias("key"), textnorm.text_hash(textnorm.collapse(F.col("text"))).alias("txt"))
-    groups_ = labels.join(docs, "path").groupBy("component").agg(F.count("*").alias("members"), F.count_distinct("key").alias("keys"), F.count_distinct("txt").alias("txts")).where("members > 1 and keys > 1 and txts > 1")
-    return labels.join(groups_, "component").select(F.col("component").alias("group_id"), F.col("path").alias("doc_id"), "members")
+    files = _texts(spark, sf_dir)
+    labels = labels.withColumnRenamed("path", "doc_id").join(files.select("doc_id", "path"), "doc_id").select("path", "component")
+    return groups.labelled_groups(files, labels, "txt").join(files.select("path", "doc_id"), "path").select("group_id", "doc_id", "members", "role")
+
+
+def _texts(spark, sf_dir) -> DataFrame:
+    """doc_id, path, size, mtime, key, txt of the virtual catalog."""
+    files = files_of(spark, sf_dir)
+    return files.select("doc_id", "path", "size", "mtime", groups.content_key(F.col("full_hash"), F.col("path")).alias("key"), textnorm.text_hash(textnorm.collapse(F.col("content"))).alias("txt"))
+
+
+SAME_TEXT = rf"""WITH {CAT}, both AS (SELECT doc_id, path, size, mtime, content FROM cat UNION ALL SELECT doc_id, '/copies' || path, size + 1, mtime, content || ' ' FROM cat WHERE doc_id % 10 = 0),
+x AS (SELECT *, sha256(content) AS full_hash, sha256(trim(regexp_replace(content, '[\s\x0b]+', ' ', 'g'))) AS txt, 'doc_' || doc_id AS stem FROM both WHERE trim(regexp_replace(content, '[\s\x0b]+', ' ', 'g')) <> ''),
+g AS (SELECT txt, count(*) AS members FROM x GROUP BY txt HAVING count(*) > 1 AND count(DISTINCT full_hash) > 1),
+st AS (SELECT txt AS group_id, path, size, mtime, members, CASE WHEN row_number() OVER (PARTITION BY txt ORDER BY {KEEP}, length(path) - length(replace(path, '/', '')), mtime, length(path), path) = 1 THEN 'keep' ELSE 'move' END AS role FROM x JOIN g USING (txt))"""
+
+
+@query(f"{SAME_TEXT} SELECT group_id, path, members, role FROM st")
+def doc_groups(spark, sf_dir):
+    """Documents with one text but not one content; each tenth has a copy with a blank more."""
+    return groups.same_fingerprint(_spaced(spark, sf_dir), "txt")
+
+
+def _spaced(spark, sf_dir) -> DataFrame:
+    files = catalog.virtual_catalog(spark, sf_dir).select("doc_id", "path", "size", "mtime", "content")
+    copies = files.where("doc_id % 10 = 0").select("doc_id", F.concat(F.lit("/copies"), "path").alias("path"), (F.col("size") + 1).alias("size"), "mtime", F.concat("content", F.lit(" ")).alias("content"))
+    both = files.unionByName(copies)
+    return both.select("path", "size", "mtime", groups.content_key(hashing.full_hash(F.col("content")), F.col("path")).alias("key"), textnorm.text_hash(textnorm.collapse(F.col("content"))).alias("txt"))
 
 
 BITS = """w AS (SELECT vec_id, embedding AS e, list_sort(embedding) AS s FROM embeddings),
-bits AS (SELECT vec_id, list_transform(e, lambda x: CASE WHEN CAST(x AS DOUBLE) > (s[32] + s[33]) / 2 THEN 1 ELSE 0 END) AS b FROM w),
+plain AS (SELECT vec_id, list_transform(e, lambda x: CASE WHEN CAST(x AS DOUBLE) > (s[32] + s[33]) / 2 THEN 1 ELSE 0 END) AS b FROM w),
+bits AS (SELECT vec_id, b FROM plain UNION ALL SELECT 1000000000 + vec_id, list_transform(b, lambda x, i: CASE WHEN i <= vec_id // 4 % 17 THEN 1 - x ELSE x END) FROM plain WHERE vec_id % 4 = 0),
 d AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b, CAST(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN x.b[i] <> y.b[i] THEN 1 ELSE 0 END)) AS INTEGER) AS distance FROM bits x JOIN bits y ON x.vec_id < y.vec_id)"""
 
 
+def _flipped(word, n):
+    """A word with its n first bits, from the top, inverted; n below 64."""
+    return word.bitwiseXOR(F.when(n > 0, F.call_function("shiftleft", F.lit(-1).cast("long"), (64 - n).cast("int"))).otherwise(F.lit(0).cast("long")))
+
+
 def _vector_prints(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), media.median_words(F.col("embedding")).alias("words"))
+    """A print for each vector, and for each fourth a neighbour 0 to 16 bits away."""
+    plain = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), media.median_words(F.col("embedding")).alias("words"))
+    near = plain.where("id % 4 = 0").select((F.col("id") + 1_000_000_000).alias("id"), F.array(_flipped(F.get("words", F.lit(0)), F.floor(F.col("id") / 4) % 17)).alias("words"))
+    return plain.unionByName(near)
 
 
 @query(f"WITH {BITS} SELECT a, b, distance FROM d WHERE distance <= 14")
@@ -373,17 +410,25 @@ def image_loose_groups(spark, sf_dir):
 
 @query(
     """WITH w AS (SELECT vec_id, label, embedding AS e, list_sort(embedding) AS s FROM embeddings), g AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS n, list_transform(e, lambda x: CASE WHEN CAST(x AS DOUBLE) > (s[32] + s[33]) / 2 THEN 1 ELSE 0 END) AS b FROM w),
-v AS (SELECT label, n // 5 AS k, flatten(list(b ORDER BY n)) AS b FROM g GROUP BY 1, 2 HAVING count(*) = 5), i AS (SELECT label * 1000000 + k AS id, b FROM v)
+v AS (SELECT label, n // 5 AS k, flatten(list(b ORDER BY n)) AS b FROM g GROUP BY 1, 2 HAVING count(*) = 5), o AS (SELECT label * 1000000 + k AS id, b FROM v), i AS (SELECT id, b FROM o UNION ALL SELECT 500000000000 + id, list_transform(b, lambda x, j: CASE WHEN j <= id % 61 THEN 1 - x ELSE x END) FROM o)
 SELECT x.id AS a, y.id AS b, CAST(list_sum(list_transform(range(1, 321), lambda j: CASE WHEN x.b[j] <> y.b[j] THEN 1 ELSE 0 END)) AS INTEGER) AS distance FROM i x JOIN i y ON x.id < y.id WHERE list_sum(list_transform(range(1, 321), lambda j: CASE WHEN x.b[j] <> y.b[j] THEN 1 ELSE 0 END)) <= 40"""
 )
 def video_pairs(spark, sf_dir):
-    """Five 64-bit frames make one video print."""
+    """Five 64-bit frames make one video print; each has a neighbour 0 to 60 bits away."""
+    return bits.hamming_pairs(_video_prints(spark, sf_dir), fixed.VIDEO_THRESHOLD)
+
+
+def _video_prints(spark, sf_dir) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").withColumn("n", F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1).withColumn("k", F.floor(F.col("n") / 5))
     rows = rows.groupBy("label", "k").agg(F.sort_array(F.collect_list(F.struct("n", media.median_words(F.col("embedding")).alias("w")))).alias("f")).where(F.size("f") == 5)
-    return bits.hamming_pairs(rows.select((F.col("label") * F.lit(1000000).cast("long") + F.col("k")).alias("id"), F.flatten(F.col("f")["w"]).alias("words")), fixed.VIDEO_THRESHOLD)
+    own = rows.select((F.col("label") * F.lit(1000000).cast("long") + F.col("k")).alias("id"), F.flatten(F.col("f")["w"]).alias("words"))
+    near = own.select((F.col("id") + 500_000_000_000).alias("id"), F.concat(F.array(_flipped(F.get("words", F.lit(0)), F.col("id") % 61)), F.slice("words", 2, 4)).alias("words"))
+    return own.unionByName(near)
 
 
-SEQ = """seq AS (SELECT user_id AS id, CASE user_id % 2 WHEN 0 THEN 'cp' ELSE 'lc' END AS tag, list(CAST(floor(value * 100) AS BIGINT) & 7 ORDER BY event_id) AS w FROM events GROUP BY user_id),
+SEQ = """own AS (SELECT user_id, list((CAST(floor(value * 100) AS BIGINT) * 2654435761) & 4294967295 ORDER BY event_id) AS w FROM events GROUP BY user_id),
+seq AS (SELECT user_id * 4 + k AS id, CASE user_id % 2 WHEN 0 THEN 'cp' ELSE 'lc' END AS tag, CASE k WHEN 0 THEN w WHEN 1 THEN list_transform(w, lambda x, i: xor(x, CAST(1 AS BIGINT) << (i % 32)))
+  WHEN 2 THEN list_transform(w, lambda x, i: xor(x, CAST(7 AS BIGINT) << (i % 29))) ELSE w[2:] END AS w FROM own, range(4) AS r(k) WHERE k = 0 OR user_id % 5 = 0),
 r AS (SELECT x.id AS a, y.id AS b, len(x.w) AS nx, len(y.w) AS ny, x.w AS wx, y.w AS wy FROM seq x JOIN seq y ON x.tag = y.tag AND x.id < y.id),
 shifts AS (SELECT a, b, sh, least(nx, ny) - abs(sh) AS m, wx, wy FROM r, (VALUES (0), (1), (2), (-1), (-2)) AS s(sh)),
 rates AS (SELECT a, b, CASE WHEN m >= 8 THEN list_sum(list_transform(range(1, m + 1), lambda i: bit_count(xor(wx[i + greatest(sh, 0)], wy[i + greatest(-sh, 0)])))) / (m * 32) ELSE 1.0 END AS ber FROM shifts),
@@ -391,19 +436,23 @@ best AS MATERIALIZED (SELECT a, b, min(ber) AS ber FROM rates GROUP BY a, b)"""
 
 
 def _event_prints(spark, sf_dir) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.floor(F.col("value") * 100).cast("long").bitwiseAND(F.lit(7).cast("long")).alias("w"))
-    rows = rows.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "w"))).alias("s"))
-    return rows.select(F.col("user_id").alias("id"), F.when(F.col("user_id") % 2 == 0, "cp").otherwise("lc").alias("tag"), F.col("s")["w"].alias("words"))
+    """The events of a user as 32-bit words; each fifth user has neighbours with 1 and 3 bits of each word inverted, and one that begins a word later."""
+    word = (F.floor(F.col("value") * 100).cast("long") * 2654435761).bitwiseAND(F.lit(4294967295))
+    rows = table(spark, sf_dir, "events").groupBy(F.col("user_id").cast("long").alias("user")).agg(F.sort_array(F.collect_list(F.struct("event_id", word.alias("w")))).alias("s"))
+    rows = rows.select("user", F.col("s")["w"].alias("w"), F.explode(F.when(F.col("user") % 5 == 0, F.array(*[F.lit(k) for k in range(4)])).otherwise(F.array(F.lit(0)))).alias("k"))
+    flip = lambda bits, wide: F.transform("w", lambda x, i: x.bitwiseXOR(F.call_function("shiftleft", F.lit(bits).cast("long"), (i + 1) % wide)))
+    words = F.when(F.col("k") == 0, F.col("w")).when(F.col("k") == 1, flip(1, 32)).when(F.col("k") == 2, flip(7, 29)).otherwise(F.slice("w", F.lit(2), F.size("w")))
+    return rows.select((F.col("user") * 4 + F.col("k")).alias("id"), F.when(F.col("user") % 2 == 0, "cp").otherwise("lc").alias("tag"), words.alias("words"))
 
 
-@query(f"WITH {SEQ} SELECT a, b, CAST(round(ber * 1000000) AS BIGINT) AS ber_millionths FROM best WHERE ber <= 0.035")
+@query(f"WITH {SEQ} SELECT a, b, CAST(round(ber * 1000000) AS BIGINT) AS ber_millionths FROM best WHERE ber <= 0.1")
 def ber_pairs(spark, sf_dir):
-    return sequences.ber_pairs(_event_prints(spark, sf_dir), 0.035).select("a", "b", F.round(F.col("ber") * 1000000).cast("long").alias("ber_millionths"))
+    return sequences.ber_pairs(_event_prints(spark, sf_dir), fixed.AUDIO_BER).select("a", "b", F.round(F.col("ber") * 1000000).cast("long").alias("ber_millionths"))
 
 
-@query(f"WITH RECURSIVE {SEQ}, sym AS MATERIALIZED (SELECT a, b FROM best WHERE ber <= 0.035 UNION ALL SELECT b, a FROM best WHERE ber <= 0.035), {REACH} SELECT id, min(r) AS component FROM reach GROUP BY id")
+@query(f"WITH RECURSIVE {SEQ}, sym AS MATERIALIZED (SELECT a, b FROM best WHERE ber <= 0.1 UNION ALL SELECT b, a FROM best WHERE ber <= 0.1), {REACH} SELECT id, min(r) AS component FROM reach GROUP BY id")
 def ber_clusters(spark, sf_dir):
-    return sequences.ber_clusters(_event_prints(spark, sf_dir), 0.035)
+    return sequences.ber_clusters(_event_prints(spark, sf_dir), fixed.AUDIO_BER)
 
 
 @query(f"WITH {SEQ} SELECT tag, count(*) AS prints, count(DISTINCT w) AS contents FROM seq GROUP BY tag")
@@ -585,11 +634,116 @@ def phash_from_pixels(spark, sf_dir):
     return rows.select("vec_id", media.pixel_hash("phash", rotation=True)("p", "h", "w").alias("words"))
 
 
-@query("WITH e AS (SELECT l_orderkey AS a, 1000000000 + min(l_partkey) % 977 AS b FROM lineitem GROUP BY l_orderkey) SELECT a AS id, min(a) OVER (PARTITION BY b) AS component FROM e UNION ALL SELECT b, min(a) FROM e GROUP BY b")
+@query("SELECT o_orderkey AS id, min(o_orderkey) OVER (PARTITION BY o_custkey) AS component FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) > 1)")
 def component_labels(spark, sf_dir):
-    """Each order joins one part class, so every component is one class with its orders."""
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_partkey").alias("p"))
-    return connected_components(lines.select(F.col("l_orderkey").alias("a"), (F.lit(1000000000) + F.col("p") % 977).alias("b")))
+    """The orders of a customer form a chain, each joined to the next."""
+    after = F.lead("o_orderkey").over(W.partitionBy("o_custkey").orderBy(F.xxhash64("o_orderkey"), "o_orderkey"))
+    return connected_components(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("a"), after.alias("b")).where("b is not null"))
+
+
+ERRORS = f"WITH {CAT}, e AS (SELECT path, 'unreadable' AS error, mtime AS \"at\" FROM cat WHERE doc_id % 17 = 0)"
+
+
+def _errors(spark, sf_dir) -> DataFrame:
+    files = catalog.virtual_catalog(spark, sf_dir)
+    return errors.error_log(files.withColumn("text", F.when(F.col("doc_id") % 17 != 0, F.col("content"))), "text", "unreadable", F.col("mtime"))
+
+
+@query(f"{ERRORS} SELECT * FROM (SELECT path, error, \"at\", CAST(row_number() OVER (ORDER BY \"at\", path) AS INTEGER) AS rank, count(*) OVER () AS n_errors FROM e) WHERE rank <= 500")
+def error_list(spark, sf_dir):
+    return errors.error_list(_errors(spark, sf_dir))
+
+
+JUNK = f"WITH {CAT}, junk AS (SELECT path, name, size, mtime FROM cat WHERE name LIKE 'doc_1%' OR name LIKE '%99.txt')"
+
+
+def _junk(spark, sf_dir) -> DataFrame:
+    return catalog.split_junk(catalog.virtual_catalog(spark, sf_dir), ("doc?1*", "*99.txt")).where("junk")
+
+
+@query(f"{JUNK} SELECT path, size, 'move' AS recommend, CAST(row_number() OVER (ORDER BY size DESC, path) AS INTEGER) AS rank, CAST(sum(size) OVER () AS BIGINT) AS total_bytes FROM junk")
+def junk_list(spark, sf_dir):
+    return catalog.junk_list(_junk(spark, sf_dir))
+
+
+@query(f'{FLAT} SELECT *, CAST(row_number() OVER (PARTITION BY category, "group" ORDER BY size_bytes DESC, path) AS INTEGER) AS place FROM flat')
+def sorted_groups(spark, sf_dir):
+    return export.sorted_groups(_flat(spark, sf_dir), "size", descending=True)
+
+
+@query(f"{FLAT} SELECT *, role <> 'keeper' AS prechecked FROM flat")
+def selection_reset(spark, sf_dir):
+    return export.reset_selection(_flat(spark, sf_dir), "all")
+
+
+def _rows_sql(key: str, source: str) -> str:
+    """The export rows of a category over a query group_id, path, size, mtime, role."""
+    title, grouped = next((title, grouped) for k, title, grouped in export.CATEGORIES if k == key)
+    number = "CAST(dense_rank() OVER (ORDER BY group_id) AS INTEGER)" if grouped else "0"
+    return f"""SELECT '{key}' AS category, '{title}' AS category_title, {number} AS "group", CASE role WHEN 'keep' THEN 'keeper' ELSE role END AS role, path,
+  regexp_replace(path, '^.*/', '') AS name, regexp_replace(path, '/[^/]*$', '') AS folder, size AS size_bytes, {HUMAN} AS size_human, strftime(make_timestamp(CAST(mtime AS BIGINT) * 1000000), '%Y-%m-%dT%H:%M:%S') AS mtime_iso FROM ({source})"""
+
+
+NEAR_FILES = f"WITH {CAT}, ng AS ({ORACLE['near_groups']}) SELECT group_id, path, size, mtime, role FROM ng JOIN cat USING (doc_id)"
+REPORT = " UNION ALL ".join(
+    _rows_sql(key, source)
+    for key, source in (
+        ("dup", f"{EXACT} SELECT group_id, path, size, mtime, role FROM dup"),
+        ("doc", f"{SAME_TEXT} SELECT group_id, path, size, mtime, role FROM st"),
+        ("docnear", NEAR_FILES),
+        ("junk", f"{JUNK} SELECT path, size, mtime, 'move' AS role FROM junk"),
+        ("empty", f"WITH {TREE} SELECT path, 0::BIGINT AS size, {AS_OF} AS mtime, 'item' AS role FROM empty"),
+    )
+)
+
+
+@query(REPORT)
+def report_rows(spark, sf_dir):
+    """The export of several categories, groups and flat ones."""
+    files = _texts(spark, sf_dir).select("doc_id", "path", "size", "mtime")
+    same = doc_groups(spark, sf_dir).join(_spaced(spark, sf_dir).select("path", "size", "mtime"), "path")
+    near = near_groups(spark, sf_dir).join(files, "doc_id")
+    empty = _tree(spark, sf_dir).select("path", F.lit(0).cast("long").alias("size"), F.lit(AS_OF).alias("mtime"))
+    return export.all_rows({"dup": exact_duplicates(spark, sf_dir), "doc": same, "docnear": near, "junk": _junk(spark, sf_dir), "empty": empty})
+
+
+@query(f"SELECT category, count(DISTINCT \"group\") AS n_groups, count(*) AS n_rows FROM ({REPORT}) GROUP BY category")
+def report_counts(spark, sf_dir):
+    return export.category_counts(report_rows(spark, sf_dir))
+
+
+@query(f"SELECT category, n_groups, n_rows FROM (SELECT category, count(DISTINCT \"group\") AS n_groups, count(*) AS n_rows FROM ({REPORT}) GROUP BY category) WHERE category NOT IN ('junk', 'empty') ORDER BY n_groups DESC, category LIMIT 1")
+def best_category(spark, sf_dir):
+    return export.best_category(report_counts(spark, sf_dir))
+
+
+def _components_sql(pairs: str) -> str:
+    return f"WITH RECURSIVE near AS MATERIALIZED ({pairs}), sym AS MATERIALIZED (SELECT a, b FROM near UNION ALL SELECT b, a FROM near), {REACH}, comp AS (SELECT id, min(r) AS component FROM reach GROUP BY id) SELECT component FROM comp"
+
+
+def _n(sql: str, what: str) -> str:
+    return f"(SELECT {what} FROM ({sql}))"
+
+
+COUNTERS = {
+    "total_files": ("catalog_scan", "count(*)"), "exact_dup_groups": ("exact_duplicates", "count(DISTINCT group_id)"), "name_conflict_groups": ("name_conflicts", "count(DISTINCT lower_name)"),
+    "version_anomaly_groups": ("version_anomalies", "count(DISTINCT family)"), "image_dup_groups": ("image_loose_groups", "count(DISTINCT component)"), "doc_dup_groups": ("doc_groups", "count(DISTINCT group_id)"),
+    "zip_dup_groups": ("archive_manifest_groups", "count(DISTINCT manifest)"), "doc_near_groups": ("near_groups", "count(DISTINCT group_id)"), "video_dup_groups": ("video_pairs", "count(DISTINCT component)"),
+    "audio_dup_groups": ("ber_clusters", "count(DISTINCT component)"), "archive_loose_count": ("unpacked_archives", "count(*)"), "junk_count": ("junk_list", "count(*)"), "junk_bytes": ("junk_list", "coalesce(max(total_bytes), 0)"),
+    "empty_dir_count": ("empty_dirs", "count(*)"), "reclaimable_bytes": ("reclaimable_bytes", "max(bytes)"), "error_count": ("error_list", "coalesce(max(n_errors), 0)"),
+}
+
+
+@query("SELECT " + ", ".join(f"CAST({_n(_components_sql(ORACLE[q]) if q == 'video_pairs' else ORACLE[q], what)} AS BIGINT) AS {name}" for name, (q, what) in COUNTERS.items()))
+def stats_counters(spark, sf_dir):
+    """All counters of a report in one row."""
+    made = {}
+    for name, (q, what) in COUNTERS.items():
+        rows = QUERIES[q](spark, sf_dir)
+        if q == "video_pairs":
+            rows = connected_components(materialize(rows, "video"))
+        made[name] = rows.agg(F.expr(what).alias("value"))
+    return export.stats(made)
 
 
 @query()
