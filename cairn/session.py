@@ -74,8 +74,15 @@ def release(*tables: DataFrame) -> None:
         tables[0].sparkSession._jvm.System.gc()
 
 
+#: Rows of an Arrow batch, where the session has Spark's default of 10,000: texts are long, and a batch is held whole on both sides.
+BATCH_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000")
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once for each Spark application."""
+    """Send this package to the Python workers, once for each Spark application, and keep batches of texts small."""
+    name, default, rows = BATCH_ROWS
+    if spark.conf.get(name) == default:
+        spark.conf.set(name, rows)
     context = spark.sparkContext
     if getattr(context, "_cairn_shipped", False):
         return
