@@ -349,8 +349,8 @@ def _texts(spark, sf_dir) -> DataFrame:
     return files.select("doc_id", "path", "size", "mtime", groups.content_key(F.col("full_hash"), F.col("path")).alias("key"), textnorm.text_hash(textnorm.collapse(F.col("content"))).alias("txt"))
 
 
-SAME_TEXT = rf"""WITH {CAT}, both AS (SELECT doc_id, path, size, mtime, content FROM cat UNION ALL SELECT doc_id, '/copies' || path, size + 1, mtime, content || ' ' FROM cat WHERE doc_id % 10 = 0),
-x AS (SELECT *, sha256(content) AS full_hash, sha256(trim(regexp_replace(content, '[\s\x0b]+', ' ', 'g'))) AS txt, 'doc_' || doc_id AS stem FROM both WHERE trim(regexp_replace(content, '[\s\x0b]+', ' ', 'g')) <> ''),
+SAME_TEXT = rf"""WITH {CAT}, spaced AS (SELECT doc_id, path, size, mtime, content FROM cat UNION ALL SELECT doc_id, '/copies' || path, size + 1, mtime, content || ' ' FROM cat WHERE doc_id % 10 = 0),
+x AS (SELECT *, sha256(content) AS full_hash, sha256(trim(regexp_replace(content, '[\s\x0b]+', ' ', 'g'))) AS txt, 'doc_' || doc_id AS stem FROM spaced WHERE trim(regexp_replace(content, '[\s\x0b]+', ' ', 'g')) <> ''),
 g AS (SELECT txt, count(*) AS members FROM x GROUP BY txt HAVING count(*) > 1 AND count(DISTINCT full_hash) > 1),
 st AS (SELECT txt AS group_id, path, size, mtime, members, CASE WHEN row_number() OVER (PARTITION BY txt ORDER BY {KEEP}, length(path) - length(replace(path, '/', '')), mtime, length(path), path) = 1 THEN 'keep' ELSE 'move' END AS role FROM x JOIN g USING (txt))"""
 

@@ -6,12 +6,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.media import pixel_hash
 from ..session import ship
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def gray(data: pd.Series, channels: pd.Series) -> pd.Series:
     """Luma of pixels in blue, green, red (and alpha) order; one channel stays as it is."""
 
