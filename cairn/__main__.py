@@ -9,6 +9,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.paths import basename
 from .operators import catalog, groups, hashing
 from .plans import apply, export, moves
 from .plans.doctor import doctor
@@ -33,7 +34,8 @@ def scan(spark: SparkSession, args: argparse.Namespace) -> int:
     listed = file_tree(spark, args.roots).withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
     split = catalog.split_junk(catalog.outside_quarantine(listed, args.quarantine))
     kept = catalog.at_least(catalog.exclude(split.where("not junk").drop("junk")), args.min_size)
-    hashing.staged_hashes(kept).drop("content").write.mode("overwrite").parquet(f"{args.store}/catalog.new")
+    hashed = hashing.staged_hashes(kept).drop("content")
+    hashed.withColumn("name", basename(F.col("path"))).write.mode("overwrite").parquet(f"{args.store}/catalog.new")
     split.where("junk").select("path", "name", "size", "mtime").write.mode("overwrite").parquet(f"{args.store}/junk")
     spark.read.parquet(f"{args.store}/catalog.new").write.mode("overwrite").parquet(f"{args.store}/catalog")
     print(f"{_catalog(spark, args.store).count()} files")
