@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, line_dedup
+from . import chat_format, decontaminate, line_dedup, near_dedup, substring_dedup, suffix_dedup
 from .chat_format import op4_chat_format
 from .decontaminate import op1_benchmark_decontamination
 from .language_id import op3_language_id
@@ -34,4 +34,7 @@ ORACLE: dict[str, str] = {
     "op1_benchmark_decontamination": decontaminate.ORACLE,
     "op4_chat_format": chat_format.ORACLE,
     "op6_line_dedup": line_dedup.ORACLE,
+    "op7_minhash_near_dedup": near_dedup.ORACLE,
+    "op9_suffix_dedup": suffix_dedup.ORACLE,
+    "op10_substring_dedup": substring_dedup.ORACLE,
 }

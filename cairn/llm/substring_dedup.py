@@ -126,3 +126,20 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, blo
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH words AS (
+  SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all(text, '[^\x20\x09-\x0D]+') END AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM words WHERE len(w) >= 20)),
+ranked AS (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS n FROM windows),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM ranked WHERE n > 1),
+places AS (SELECT doc_id, w[j] AS x, j FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS j FROM words)),
+cut AS (
+  SELECT doc_id, count(gone.j) AS n, string_agg(x, ' ' ORDER BY j) FILTER (gone.j IS NULL) AS kept
+  FROM places LEFT JOIN gone USING (doc_id, j) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM words LEFT JOIN cut USING (doc_id)
+"""

@@ -114,3 +114,24 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeated_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Repeated starts within 400 bytes of each other are one removed run; what lies between the runs is kept.
+ORACLE = r"""
+WITH docs AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+starts AS (
+  SELECT doc_id, i, md5(array_slice(b, i, i + 399)) AS h
+  FROM (SELECT doc_id, b, unnest(range(1, n - 398)) AS i FROM docs WHERE n >= 400)),
+repeated AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS times FROM starts) WHERE times > 1),
+marked AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400, true) AS new FROM repeated),
+numbered AS (SELECT doc_id, i, count(*) FILTER (new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS z FROM numbered GROUP BY doc_id, run),
+total AS (SELECT doc_id, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id),
+ends AS (SELECT doc_id, a, z FROM runs UNION ALL SELECT doc_id, n + 1, n + 1 FROM docs),
+pieces AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a, z), 1) AS low, a AS high FROM ends),
+kept AS (
+  SELECT doc_id, string_agg(CASE WHEN high > low THEN hex(array_slice(b, low, high - 1)) ELSE '' END, '' ORDER BY low, high) AS h
+  FROM pieces JOIN docs USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(h)) AS kept_sha256
+FROM docs JOIN kept USING (doc_id) LEFT JOIN total USING (doc_id)
+"""

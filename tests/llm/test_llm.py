@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import os
 import random
 import re
 import time
@@ -278,6 +279,14 @@ def test_language_id(spark):
     assert language_id.language_id(docs.limit(0)).count() == 0
 
 
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01/documents.parquet"), reason="needs the test tables")
+def test_language_id_on_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    judged = language_id.language_id(docs).where("held_out and lang_pred <> 'und'").join(docs.where("lang is not null").select("doc_id", "lang"), "doc_id")
+    right, n = judged.agg(F.count_if(F.col("lang") == F.col("lang_pred")), F.count("*")).first()
+    assert n > 100 and right >= 0.98 * n
+
+
 MESSAGE = "conv string, seq long, kind string, role string, call_id string, tool string, args map<string,string>, content string, after array<string>"
 TOOL = "tool string, arg string, type string, required boolean"
 
