@@ -576,7 +576,7 @@ def result_filter(spark, sf_dir):
     return export.result_filter(_flat(spark, sf_dir), "/EN/", 1024)
 
 
-@query()
+@query(f"""{FLAT} SELECT category, "group", CAST(to_json({{'group': "group", 'files': list({{'path': path, 'name': name, 'size_bytes': size_bytes, 'role': role}} ORDER BY path)}}) AS VARCHAR) AS json FROM flat GROUP BY category, "group\"""")
 def json_export(spark, sf_dir):
     return export.nested_json(_flat(spark, sf_dir))
 
