@@ -16,7 +16,7 @@ from .operators import archives, bits, catalog, dirs, errors, groups, hashing, i
 from .operators.components import connected_components
 from .plans import export, moves
 from .plans.doctor import doctor
-from .session import materialize, ship
+from .session import materialize, ship, spread
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -270,7 +270,8 @@ sh AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN w[i] ELSE array_to_stri
 
 
 def _normal_files(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), textnorm.collapse(F.col("text")).alias("normal")).where("normal is not null")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select(F.col("doc_id").alias("path"), textnorm.collapse(F.col("text")).alias("normal")).where("normal is not null")
 
 
 @query(f"WITH {NORMAL} SELECT doc_id, count(*) AS n_shingles FROM sh GROUP BY doc_id")

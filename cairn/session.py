@@ -74,6 +74,12 @@ def release(*tables: DataFrame) -> None:
         tables[0].sparkSession._jvm.System.gc()
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan, dealt over all cores if its files split into fewer parts; a large table has more and is read as it lies."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 #: Rows of an Arrow batch, where the session has Spark's default of 10,000: texts are long, and a batch is held whole on both sides.
 BATCH_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000")
 
