@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.ranks import numbered
 from ..session import materialize
 
 BLANK_CHARS = " \t\n\x0b\x0c\r"
@@ -25,24 +26,25 @@ def source_targets(sizes: DataFrame, epochs: int = MOST_EPOCHS) -> DataFrame:
 
     Sources in code-point order, null last, weigh 1, 2, 3, 1, ... and share the
     total of all sizes. A target stops at ``epochs`` times its source's size;
-    what is cut off is shared again by weight until no target is above. That
-    ends where target = min(epochs * size, level * weight) with one level for
-    all, so the sources are taken in order of size / weight: a source is
-    capped if the level of those from it on would lift it over its cap.
+    what is cut off is shared again by weight until no target is above. Each
+    round is one sum over the sources: those that the present level lifts over
+    their cap keep it, and the level of the rest rises. Only sums reach the
+    driver, and the sources are numbered in ranges, so there may be any number.
     """
-    by_code = W.orderBy(F.col("source").isNull(), F.encode(F.col("source"), "UTF-8"))
-    weighed = sizes.withColumn("weight", ((F.row_number().over(by_code) - 1) % 3 + 1).cast("long"))
-    order = W.orderBy(F.expr(f"{epochs} * source_size / weight"), F.col("source").isNull(), F.encode(F.col("source"), "UTF-8"))
-    before, after = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(W.currentRow, W.unboundedFollowing)
-    cap = F.col("source_size") * epochs
-    total = F.sum("source_size").over(W.partitionBy())
-    steps = weighed.select("*", (total - F.coalesce(F.sum(cap).over(before), F.lit(0))).alias("left"), F.sum("weight").over(after).alias("heavy"))
-    steps = steps.withColumn("capped", cap * F.col("heavy") <= F.col("left") * F.col("weight"))
-    # From the first source that is not capped on, none is: its level holds for all that follow.
-    free = W.partitionBy()
-    level = F.min_by(F.struct("left", "heavy"), F.when(~F.col("capped"), F.struct(F.expr(f"{epochs} * source_size / weight"), F.col("source").isNull(), F.encode(F.col("source"), "UTF-8")))).over(free)
-    out = steps.withColumn("level", level)
-    return out.select("source", "source_size", F.when(F.col("capped"), cap.cast("double")).otherwise((F.col("level.left") * F.col("weight")).cast("double") / F.col("level.heavy")).alias("target"))
+    by_code = F.struct(F.col("source").isNull(), F.encode("source", "UTF-8"))
+    placed = numbered(sizes.withColumn("by_code", by_code), "by_code", "place")
+    weight, cap = ((F.col("place") - 1) % 3 + 1).cast("long"), F.col("source_size") * epochs
+    weighed = materialize(placed.select("source", "source_size", weight.alias("weight"), cap.alias("cap")), "weights")
+    total, heavy = weighed.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    left = total
+    while True:
+        # Products in decimals: they may pass the range of long.
+        capped = F.col("cap").cast("decimal(19,0)") * F.lit(heavy).cast("decimal(19,0)") <= F.lit(left).cast("decimal(19,0)") * F.col("weight").cast("decimal(19,0)")
+        cut, rest = weighed.agg(F.coalesce(F.sum(F.when(capped, F.col("cap"))), F.lit(0)), F.coalesce(F.sum(F.when(~capped, F.col("weight"))), F.lit(0))).first()
+        if rest in (0, heavy):
+            break
+        left, heavy = total - cut, rest
+    return weighed.select("source", "source_size", F.when(capped, F.col("cap").cast("double")).otherwise(F.lit(left).cast("double") * F.col("weight") / F.lit(heavy)).alias("target"))
 
 
 def mix(docs: DataFrame, size: Column | None = None, seed: int = 7, ranges: int = RANGES, epochs: int = MOST_EPOCHS) -> DataFrame:

@@ -7,6 +7,7 @@ import random
 import re
 import time
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -244,6 +245,30 @@ def test_decontaminate(spark):
         assert texts[0][1].encode()[got[1].spans[0].first_byte : got[1].spans[0].last_byte].decode() == item.upper()
         assert got[2]["items"] == ["2"] and not got[3].spans and not got[4].spans and not got[5].spans and not got[6].spans
     assert decontaminate.decontaminate(docs_of(spark, texts), bench.limit(0)).where(F.size("spans") > 0).count() == 0
+    assert decontaminate.decontaminate(docs_of(spark, []), bench, block_chars=60).count() == 0
+
+
+@pytest.mark.parametrize("limit", [10**6, 200])
+def test_decontaminate_is_brute_force_in_blocks(spark, limit):
+    """Items share windows, documents repeat and are null; one window is in a third of all items."""
+    rng = random.Random(5)
+    some = lambda n: " ".join(rng.choice("abcd") for _ in range(n))
+    shared = some(6)
+    items = [(f"i{k}", f"{shared} {some(3)}" if k % 3 == 0 else some(rng.randrange(9))) for k in range(30)]
+    texts = [(k, some(rng.randrange(60))) for k in range(40)] + [(3, "a b c d"), (3, "a b c d"), (90, None), (None, shared), (None, shared)]
+    got = decontaminate.decontaminate(docs_of(spark, texts), spark.createDataFrame(items, "item_id string, text string"), window=4, block_chars=limit).collect()
+    assert len(got) == len(texts)
+    want = []
+    for i, text in texts:
+        w, hit, held = (text or "").split(), set(), set()
+        for item, body in items:
+            own = body.split()
+            for p in [own[k : k + 4] for k in range(max(1, len(own) - 3))] if own else []:
+                at = [k for k in range(len(w) - len(p) + 1) if w[k : k + len(p)] == p]
+                hit.update(j for k in at for j in range(k, k + len(p)))
+                held.update([item] if at else [])
+        want.append((str(i), len(w), sorted(hit), sorted(held)))
+    assert sorted(want) == sorted((str(r.doc_id), r.n_words, [j for s in r.spans for j in range(s.first_word, s.last_word)], list(r["items"])) for r in got)
 
 
 def test_mixing(spark):
@@ -258,6 +283,27 @@ def test_mixing(spark):
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs_of(spark, texts)).collect()))
     sizes = spark.createDataFrame([("a", 1), ("b", 1000), (None, 10)], "source string, source_size long")
     assert {r.source: r.target for r in mixing.source_targets(sizes).collect()} == {"a": 3.0, "b": 978.0, None: 30.0}
+    assert mixing.mix(docs_of(spark, [])).count() == 0
+    assert [r.target for r in mixing.source_targets(sizes.where("false")).collect()] == []
+
+
+def test_targets_of_many_sources(spark):
+    """Against the rule carried out in fractions; sizes near the range of long, empty sources, ties and caps in several rounds."""
+    rng = random.Random(3)
+    sizes = [(f"s{k:04d}é", rng.choice([0, 1, 1, 7, 10**3, 10**6, 10 ** rng.randrange(13)])) for k in range(300)] + [("😀", 10**15), (None, 5)]
+    got = {r.source: r.target for r in mixing.source_targets(spark.createDataFrame(rng.sample(sizes, len(sizes)), "source string, source_size long")).collect()}
+    order = sorted(sizes, key=lambda x: (x[0] is None, (x[0] or "").encode()))
+    weights = {s: k % 3 + 1 for k, (s, _) in enumerate(order)}
+    caps, total = {s: 3 * n for s, n in order}, sum(n for _, n in order)
+    free, level = set(caps), Fraction(0)
+    while True:
+        level = Fraction(total - sum(caps[s] for s in caps if s not in free), sum(weights[s] for s in free))
+        over = {s for s in free if caps[s] < level * weights[s]}
+        if not over:
+            break
+        free -= over
+    assert len(free) < len(caps)
+    assert all(abs(got[s] - float(level * weights[s] if s in free else caps[s])) <= 1e-9 * max(1, got[s]) for s in caps)
 
 
 def test_quality(spark):
