@@ -8,18 +8,20 @@ reported by word range and mapped back to byte offsets of the original text.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialize, release, ship
 from .rows import keyed
 from .textkernel import byte_set
 
 WINDOW = 10
-#: Characters of patterns in one automaton (about 60 bytes of memory each); more items are scanned in blocks of this size.
+#: Bytes of patterns in one automaton (about 60 bytes of memory each); more of them are scanned in blocks of about this size.
 BLOCK_CHARS = 2_000_000
 
 #: Bytes that separate words: ASCII other than digits and letters. Bytes from 0x80 on belong to words.
@@ -33,39 +35,41 @@ def normal_words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(FOLD).split()
 
 
-def windows_of(items: list[tuple[str, str]], window: int) -> dict[str, list[str]]:
-    """Padded pattern -> sorted ids of the items that hold it. A shorter item, but not an empty one, is one window."""
-    found: dict[str, set[str]] = {}
-    for item, text in items:
-        words = normal_words(text)
-        for i in range(max(1, len(words) - window + 1) if words else 0):
-            pattern = b" ".join([b"", *words[i : i + window], b""]).decode("latin-1")
-            found.setdefault(pattern, set()).add(item)
-    return {k: sorted(v) for k, v in sorted(found.items())}
+def padded_windows(text: str, window: int) -> Iterator[bytes]:
+    """The windows of an item, in blanks. A shorter item, but not an empty one, is one window."""
+    words = normal_words(text)
+    for i in range(max(1, len(words) - window + 1) if words else 0):
+        yield b" ".join([b"", *words[i : i + window], b""])
 
 
-def pattern_blocks(patterns: dict[str, list[str]], limit: int) -> list[tuple[tuple[str, tuple[str, ...]], ...]]:
-    """Patterns dealt to automata of about ``limit`` characters."""
-    out: list[list] = [[]]
-    size = 0
-    for pattern, ids in patterns.items():
-        if size + len(pattern) > limit and out[-1]:
-            out.append([])
-            size = 0
-        out[-1].append((pattern, tuple(ids)))
-        size += len(pattern)
-    return [tuple(x) for x in out]
+#: Windows of an Arrow batch, whatever the length of the items.
+WINDOWS_OF_BATCH = 10_000
+
+
+def item_patterns(benchmark: DataFrame, window: int) -> DataFrame:
+    """``pattern, ids``: each distinct window of the items and the sorted ids, as strings, of those that hold it."""
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = ((p, item) for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for p in padded_windows(text, window))
+            while part := list(islice(pairs, WINDOWS_OF_BATCH)):
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in part], pa.binary()), pa.array([i for _, i in part], pa.string())], names=["pattern", "item"])
+
+    held = items.mapInArrow(cut, "pattern binary, item string").distinct()
+    return held.groupBy("pattern").agg(F.array_sort(F.collect_list("item")).alias("ids"))
 
 
 @lru_cache(maxsize=2)
-def automaton(patterns: tuple[tuple[str, tuple[str, ...]], ...]):
+def automaton(patterns: tuple[tuple[bytes, tuple[str, ...]], ...]):
     """Built once in each Python worker. None without patterns."""
     import ahocorasick
 
     if not patterns:
         return None
     built = ahocorasick.Automaton()
-    for pattern, ids in patterns:
+    for raw, ids in patterns:
+        pattern = raw.decode("latin-1")
         built.add_word(pattern, (len(pattern), pattern.count(" ") - 1, ids))
     built.make_automaton()
     return built
@@ -115,37 +119,43 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     A null or empty text has no words and no hits. An item without id, text or
     words has no windows; of repeated items each id counts once. A null doc_id
     is an ordinary document; repeated rows have equal results. Empty tables on
-    either side are fine. Other columns are ignored. The query set is read on
-    the driver and sent to the workers in automata of ``block_chars``
-    characters; if it needs more than one, the documents are scanned once for
-    each and the hits are merged.
+    either side are fine. Other columns are ignored. The windows of the query
+    set are made and grouped by the executors. They are dealt by hash into
+    blocks of about ``block_chars`` bytes, and the driver reads one block at a
+    time and sends it to the workers as an automaton. If there are several, the
+    documents are scanned once for each and the hits are merged.
     """
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string"), F.col("text").cast("string"))
-    parts = pattern_blocks(windows_of(sorted({(r[0], r[1]) for r in items.toLocalIterator()}), window), block_chars)
+    ship(docs.sparkSession)
+    patterns = materialize(item_patterns(benchmark, window), "patterns")
+    blocks = max(1, -(-(patterns.agg(F.sum(F.octet_length("pattern"))).first()[0] or 0) // block_chars))
     rows = keyed(docs).select("doc_id", "did", "tkey", "text")
     schema = f"doc_id long, did long, tkey long, n_words long, spans array<{SPAN}>, items array<string>"
 
-    def scan(patterns):
+    def scan(block: int) -> DataFrame:
+        own = patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == block) if blocks > 1 else patterns
+        words = tuple(sorted((bytes(r[0]), tuple(r[1])) for r in own.collect()))
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            built = automaton(patterns)
+            built = automaton(words)
             for batch in batches:
                 found = [scan_text(built, text) for text in batch.column(3).to_pylist()]
                 spans = [[dict(zip(("first_word", "last_word", "first_byte", "last_byte"), x, strict=True)) for x in f[1]] for f in found]
                 kind = pa.list_(pa.struct([(k, pa.int64()) for k in ("first_word", "last_word", "first_byte", "last_byte")]))
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array([f[0] for f in found], pa.int64()), pa.array(spans, kind), pa.array([f[2] for f in found], pa.list_(pa.string()))], names=["doc_id", "did", "tkey", "n_words", "spans", "items"])
 
-        return run
-
-    if len(parts) == 1:
-        return rows.mapInArrow(scan(parts[0]), schema)
-    numbered = rows.groupBy("did", "tkey").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("copies")).select("doc_id", "did", "tkey", "text", "copies")
-    out = None
-    for part in parts:
-        one = numbered.drop("copies").mapInArrow(scan(part), schema)
-        out = one if out is None else out.unionByName(one)
-    joined = out.groupBy("did", "tkey").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    joined = joined.join(numbered.select("did", "tkey", "copies"), ["did", "tkey"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return joined.select("doc_id", "did", "tkey", "n_words", merge_spans("spans").alias("spans"), "items")
+        return rows.mapInArrow(run, schema)
+
+    first = scan(0)
+    if blocks == 1:
+        release(patterns)
+        return first
+    first = materialize(first, "block")
+    # The hits of the other blocks, once for each distinct row.
+    others = [materialize(scan(b).where(F.size("spans") > 0).select("did", "tkey", "spans", "items").dropDuplicates(["did", "tkey"]), "block") for b in range(1, blocks)]
+    more = reduce(DataFrame.unionByName, others).groupBy("did", "tkey").agg(F.flatten(F.collect_list("spans")).alias("spans2"), F.flatten(F.collect_list("items")).alias("items2"))
+    joined = first.join(more, ["did", "tkey"], "left").withColumn("all", F.when(F.col("spans2").isNull(), F.col("spans")).otherwise(F.sort_array(F.concat("spans", "spans2"))))
+    items = F.when(F.col("items2").isNull(), F.col("items")).otherwise(F.array_sort(F.array_distinct(F.concat("items", "items2"))))
+    return joined.select("doc_id", "did", "tkey", "n_words", F.when(F.col("spans2").isNull(), F.col("spans")).otherwise(merge_spans("all")).alias("spans"), items.alias("items"))
 
 
 def merge_spans(name: str):
