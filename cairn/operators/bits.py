@@ -88,5 +88,5 @@ def clusters(prints: DataFrame, threshold: int) -> DataFrame:
 def tagged_prints(files: DataFrame) -> DataFrame:
     """path, tag, words from files(path, print) with 'cp:' or 'lc:' before the hex; untagged prints are legacy."""
     tag = F.when(F.col("print").startswith("cp:"), "cp").when(F.col("print").startswith("lc:"), "lc").otherwise("legacy")
-    body = F.when(tag == "legacy", F.lpad("print", 16, "0")).otherwise(F.substring("print", 4, 1_000_000))
+    body = F.when(tag == "legacy", F.lpad("print", F.greatest(F.length("print"), F.lit(16)), F.lit("0"))).otherwise(F.expr("substring(print, 4)"))
     return files.select("path", tag.alias("tag"), body.alias("hex"))

@@ -69,29 +69,37 @@ def pixel_hash(kind: str = "dhash", rotation: bool = False):
     return run
 
 
-RATE, FRAME, HOP, PITCHES, SEGMENTS = 22_050, 4096, 2048, 12, 21
+RATE, FRAME, HOP, PITCHES, SEGMENTS, LEAST_FRAMES = 22_050, 4096, 2048, 12, 21, 8
+
+
+def chroma_hex(samples: np.ndarray) -> str | None:
+    """256 bits as hex: for 21 segments of time, which of 12 pitch classes are above the segment's median; null below 8 frames or a second."""
+    x = np.asarray(samples, np.float32)[: RATE * 120]
+    if len(x) < max(RATE, FRAME + (LEAST_FRAMES - 1) * HOP):
+        return None
+    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP] * np.hanning(FRAME).astype(np.float32)
+    size = np.abs(np.fft.rfft(frames))
+    freq = np.fft.rfftfreq(FRAME, 1 / RATE)
+    used = np.flatnonzero((freq > 50) & (freq < 5000))
+    # Class 0 is C: the tone of 440 Hz has the number 69.
+    of_class = (np.round(12 * np.log2(freq[used] / 440) + 69).astype(int) % PITCHES)[:, None] == np.arange(PITCHES)
+    classes = size[:, used] @ of_class
+    total = classes.sum(1, keepdims=True)
+    classes = np.divide(classes, total, out=np.zeros_like(classes), where=total > 0)
+    parts = np.array([c.mean(0) for c in np.array_split(classes, min(SEGMENTS, len(classes)))])
+    bits = (parts > np.median(parts, axis=1, keepdims=True)).ravel()
+    return np.packbits(np.append(bits, np.zeros(256 - len(bits), bool))).tobytes().hex()
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def chroma(samples: pd.Series) -> pd.Series:
-    """256 bits of a mono signal: pitch classes of 21 segments against their median, padded; null if too short."""
+    """``chroma_hex`` of mono signals, as four 64-bit words."""
 
     def one(x):
-        if x is None or len(x) < FRAME:
-            return None
-        x = np.asarray(x, float)[: RATE * 120]
-        frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP] * np.hanning(FRAME)
-        power = np.abs(np.fft.rfft(frames)) ** 2
-        freq = np.fft.rfftfreq(FRAME, 1 / RATE)
-        use = (freq >= 50) & (freq <= 5000)
-        pitch = np.round(12 * np.log2(freq[use] / 440)).astype(int) % PITCHES
-        classes = np.stack([power[:, use][:, pitch == p].sum(1) for p in range(PITCHES)], 1)
-        parts = np.array([c.mean(0) for c in np.array_split(classes, min(SEGMENTS, len(classes)))])
-        bits = (parts > np.median(parts)).ravel()
-        bits = np.concatenate((bits, np.zeros(256 - len(bits), bool)))
-        return [signed(int("".join("1" if b else "0" for b in w), 2)) for w in bits.reshape(4, 64)]
-
-    return samples.map(one)
+        text = None if x is None else chroma_hex(x)
+        return text and [signed(int(text[i : i + 16], 16)) for i in range(0, 64, 16)]
+
+    return pd.Series([one(x) for x in samples], dtype=object)
 
 
 def median_words(values: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import fixed
 from .functions.paths import dirname, human_size, iso_time
-from .operators import archives, bits, catalog, dirs, errors, groups, hashing, incremental, insights, keeper, media, names, sequences, similar, textnorm
+from .operators import archives, audio, bits, catalog, dirs, errors, groups, hashing, incremental, insights, keeper, media, names, sequences, similar, textnorm
 from .operators.components import connected_components
 from .plans import export, moves
 from .plans.doctor import doctor
@@ -461,6 +461,26 @@ def tag_separation(spark, sf_dir):
     return _event_prints(spark, sf_dir).groupBy("tag").agg(F.count("*").alias("prints"), F.count_distinct("words").alias("contents"))
 
 
+LOCAL = """vw AS (SELECT vec_id, label, embedding AS e, list_sort(embedding) AS s FROM embeddings), vg AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS n, list_transform(e, lambda x: CASE WHEN CAST(x AS DOUBLE) > (s[32] + s[33]) / 2 THEN 1 ELSE 0 END) AS b FROM vw),
+vv AS (SELECT label * 1000000 + n // 5 AS id, (flatten(list(b ORDER BY n)))[1:256] AS b FROM vg GROUP BY label, n // 5 HAVING count(*) = 5), vi AS (SELECT id, b FROM vv UNION ALL SELECT 500000000000 + id, list_transform(b, lambda x, j: CASE WHEN j <= id % 61 THEN 1 - x ELSE x END) FROM vv),
+lc AS MATERIALIZED (SELECT x.id AS a, y.id AS b FROM vi x JOIN vi y ON x.id < y.id WHERE list_sum(list_transform(range(1, 257), lambda j: CASE WHEN x.b[j] <> y.b[j] THEN 1 ELSE 0 END)) <= 40)"""
+
+
+@query(
+    f"""WITH RECURSIVE {SEQ}, {BITS}, {LOCAL}, e AS (SELECT 'cp:' || a AS a, 'cp:' || b AS b FROM best JOIN seq ON seq.id = a WHERE ber <= 0.1 AND tag = 'cp'
+UNION ALL SELECT 'lc:' || a, 'lc:' || b FROM lc UNION ALL SELECT 'legacy:' || a, 'legacy:' || b FROM d WHERE distance <= 10), sym AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), {REACH},
+c AS (SELECT split_part(id, ':', 1) AS tag, CAST(split_part(id, ':', 2) AS BIGINT) AS id, CAST(split_part(r, ':', 2) AS BIGINT) AS r FROM reach) SELECT id, tag, min(r) AS component FROM c GROUP BY id, tag"""
+)
+def audio_clusters(spark, sf_dir):
+    """Sequences, local prints and untagged ones of equal ids, as hex."""
+    hexed = lambda words, wide: F.array_join(F.transform(words, lambda w: F.lpad(F.hex(w), wide, "0")), "")
+    swapped = F.transform("words", lambda w: F.shiftleft(w.bitwiseAND(255), 24).bitwiseOR(F.shiftleft(w.bitwiseAND(0xFF00), 8)).bitwiseOR(F.shiftright(w, 8).bitwiseAND(0xFF00)).bitwiseOR(F.shiftright(w, 24)))
+    runs = _event_prints(spark, sf_dir).where("tag = 'cp'").select("id", F.concat(F.lit("cp:"), hexed(swapped, 8)).alias("print"))
+    local = _video_prints(spark, sf_dir).select("id", F.concat(F.lit("lc:"), hexed(F.slice("words", 1, 4), 16)).alias("print"))
+    plain = _vector_prints(spark, sf_dir).select("id", hexed(F.col("words"), 16).alias("print"))
+    return audio.audio_clusters(runs.unionByName(local).unionByName(plain))
+
+
 ENTRIES = "ent AS (SELECT l_orderkey AS archive, 'Part' || (l_partkey % 50) AS name, CAST(l_quantity AS BIGINT) % 3 AS size, CAST(l_suppkey % 2 AS BIGINT) AS crc FROM lineitem)"
 
 

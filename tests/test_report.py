@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 from cairn.__main__ import main
 from cairn.functions.ranks import numbered
-from cairn.operators import bits, catalog, errors, fingerprints, similar
+from cairn.operators import audio, bits, catalog, errors, fingerprints, media, similar
 from cairn.plans import apply, export
 from cairn.sources import files as sources
-from cairn.sources import images
+from cairn.sources import images, media_tools
 
 GROUP = "group_id string, path string, size long, mtime double, role string"
 
@@ -213,3 +213,51 @@ def test_command_line(spark, tmp_path, capsys):
     assert main([*base, "apply", "--apply", "--stamp", "s1"], spark) == 0 and not (root / "b/copy.txt").exists() and (root / "a/one.txt").exists()
     assert main([*base, "undo", "s1"], spark) == 0 and (root / "b/copy.txt").read_text() == "same"
     assert main([*base, "doctor"], spark) == 0
+
+
+def test_audio_kinds_never_meet(spark):
+    run = lambda *flips: np.array([i * 2654435761 % 2**32 ^ (1 if i in flips else 0) for i in range(20)], "<u4").tobytes().hex()
+    prints = [
+        ("a", "cp:" + run()), ("b", "cp:" + run(3, 4).upper()), ("c", "cp:" + run()[:16]), ("d", "cp:" + run()[:16]), ("e", "cp:zz"), ("f", "cp:zy"),
+        ("g", "lc:" + "0" * 63 + "1"), ("h", "lc:3"), ("i", "lc:" + "f" * 64), ("j", "1"), ("k", "0000000000000007"), ("l", "ffffffffffffffff"),
+        ("m", "zz"), ("n", None), ("o", "xx:00"), ("p", "1"),
+    ]
+    got = audio.audio_clusters(spark.createDataFrame(prints, "id string, print string")).collect()
+    want = [("a", "cp", "a"), ("b", "cp", "a"), ("c", "cp", "c"), ("d", "cp", "c"), ("g", "lc", "g"), ("h", "lc", "g"), ("j", "legacy", "j"), ("k", "legacy", "j"), ("p", "legacy", "j")]
+    assert sorted(map(tuple, got)) == want
+    assert audio.audio_clusters(spark.createDataFrame([], "id string, print string")).count() == 0
+
+
+def test_chroma_of_tones():
+    time = np.arange(media.RATE * 4) / media.RATE
+    tone = np.sin(2 * np.pi * 440 * time) + 0.5 * np.sin(2 * np.pi * 660 * time)
+    word = int(media.chroma_hex(tone), 16)
+    assert word == int(media.chroma_hex(3000 * tone), 16) and media.chroma_hex(tone[:1000]) is None
+    # The first of 21 segments: A is the tenth class from C, E the fifth.
+    first = [word >> (255 - i) & 1 for i in range(12)]
+    assert first[9] == 1 and first[4] == 1 and sum(first) <= 6
+    assert (word ^ int(media.chroma_hex(np.sin(2 * np.pi * 370 * time)), 16)).bit_count() > 40
+
+
+def test_media_tools_by_stand_ins(spark, tmp_path):
+    """Scripts that speak like the decoders: what is asked of them and what is made of their answers."""
+    decoder, printer = tmp_path / "decoder", tmp_path / "printer"
+    decoder.write_text(
+        "#!/usr/bin/env python3\nimport sys, array\na = sys.argv\npath = a[a.index('-i') + 1]\n"
+        "if 'broken' in path: sys.exit(1)\n"
+        "if 'rawvideo' in a: sys.exit(0) if a[a.index('-ss') + 1] == '30.000' else sys.stdout.buffer.write(bytes(range(72))[::-1])\n"
+        "elif 's16le' in a: sys.stdout.buffer.write(array.array('h', [i * i % 977 for i in range(60000)]).tobytes())\n"
+        "else: print('  Duration: 00:01:40.00, start', file=sys.stderr)\n"
+    )
+    printer.write_text("#!/bin/sh\ncase $4 in *song*) printf 'DURATION=9\\nFINGERPRINT=1,2,3,4,5,6,7,4294967295\\n';; *) exit 2;; esac\n")
+    for tool in (decoder, printer):
+        tool.chmod(0o755)
+    files = spark.createDataFrame([("/v/clip.mp4", "video"), ("/v/broken.mp4", "video"), ("/a/song.mp3", "audio"), ("file:///a/other.mp3", "audio"), ("/a/broken.mp3", "audio"), ("/t.txt", "text")], "path string, route string")
+    got = {r.path: (r.vid, r.aud) for r in media_tools.media_prints(files, str(decoder), str(printer)).collect()}
+    own = media.chroma_hex(np.array([i * i % 977 for i in range(60000)]))
+    assert got == {
+        "/v/clip.mp4": ("f" * 16 + "0" * 16 + "f" * 48, None), "/v/broken.mp4": (None, None), "/a/broken.mp3": (None, None),
+        "/a/song.mp3": (None, "cp:" + "".join(f"0{i}000000" for i in range(1, 8)) + "f" * 8), "file:///a/other.mp3": (None, f"lc:{own}"),
+    }
+    missing = media_tools.media_prints(files, "/no/decoder", "/no/printer")
+    assert {(r.vid, r.aud) for r in missing.collect()} == {(None, None)}
