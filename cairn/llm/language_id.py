@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import materialize, ship
 from .rows import smallest
 from .textkernel import blocks
 
@@ -30,6 +30,7 @@ WIDTHS = (2, 3, 4)
 FILTERS = 12
 #: Labelled documents that the network is trained on at most; of more, those with the smallest hash of their doc_id.
 FIT_DOCS = 3_000
+#: Windows of them in all, at most (one for each document if they are more).
 FIT_WINDOWS, EPOCHS, BATCH = 6_000, 6, 64
 UNKNOWN = "und"
 
@@ -69,26 +70,22 @@ class Network:
         return scores - np.log(np.exp(scores).sum(1, keepdims=True))
 
 
-def cut_windows(data: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Rows of ``window`` bytes that cover the data in order; the last is filled up with blanks."""
+def some_windows(data: np.ndarray, n: int, seed: int, window: int = WINDOW) -> np.ndarray:
+    """``n`` rows of ``window`` bytes, or all if there are fewer, chosen by ``seed`` from those that cover the data; the last is filled up with blanks."""
     rows = max(1, -(-len(data) // window))
-    out = np.full(rows * window, 32, np.uint8)
-    out[: len(data)] = FOLD[data]
-    return out.reshape(rows, window)
+    pick = np.random.default_rng(seed).choice(rows, min(n, rows), replace=False)
+    out = np.full((len(pick), window), 32, np.uint8)
+    for row, i in zip(out, pick, strict=True):
+        part = data[i * window : (i + 1) * window]
+        row[: len(part)] = FOLD[part]
+    return out
 
 
-def train(texts: list[tuple[str, str]], seed: int = 3) -> Network:
-    """From (text, language) pairs, in a given order: Adam on the cross-entropy of single windows."""
-    languages = sorted({lang for _, lang in texts})
+def train(windows: np.ndarray, langs: list[str], seed: int = 3) -> Network:
+    """From rows of bytes and the language of each, in a given order: Adam on the cross-entropy of single windows."""
+    languages = sorted(set(langs))
     rng = np.random.default_rng(seed)
-    rows, goal = [], []
-    per_text = max(1, FIT_WINDOWS // max(1, len(texts)))
-    for text, lang in texts:
-        cut = cut_windows(np.frombuffer(text.encode(), np.uint8))
-        pick = rng.permutation(len(cut))[:per_text]
-        rows.append(cut[pick])
-        goal += [languages.index(lang)] * len(pick)
-    windows, goal = np.concatenate(rows)[:FIT_WINDOWS], np.array(goal)[:FIT_WINDOWS]
+    goal = np.array([languages.index(lang) for lang in langs])
     weights = [rng.normal(0, 0.3, (w, 256, FILTERS)).astype(np.float32) for w in WIDTHS]
     count = FILTERS * len(WIDTHS)
     net = Network(languages, weights, np.zeros(count, np.float32), rng.normal(0, 0.3, (count, len(languages))).astype(np.float32), np.zeros(len(languages), np.float32))
@@ -171,13 +168,27 @@ def learn(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Network | None:
     """A network from documents with text, letters and a lang that are not held out; None if there are none.
 
     At most ``fit_docs`` documents are used, those with the smallest hash of doc_id,
-    text and lang, so what the driver holds does not grow with the data.
+    text and lang. Their windows are chosen by the executors, about ``FIT_WINDOWS``
+    in all, so what the driver holds grows neither with the data nor with their texts.
     """
+    key = F.shiftrightunsigned(F.xxhash64("doc_id", "text", "lang"), 1).alias("key")
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
-    key = F.shiftrightunsigned(F.xxhash64("doc_id", "text", "lang"), 1)
-    sample = smallest(usable.select(key.alias("key"), "lang", "text"), "key", fit_docs).collect()
-    texts = [(r["text"], r["lang"]) for r in sorted(sample, key=lambda r: (r["key"], r["lang"], r["text"]))]
-    return train(texts) if texts else None
+    sample = materialize(smallest(materialize(usable.select(key), "keys"), "key", fit_docs), "sample")
+    n = sample.count()
+    if n == 0:
+        return None
+    per_text = max(1, FIT_WINDOWS // n)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            picked = [some_windows(np.frombuffer(text.as_py().encode(), np.uint8), per_text, k.as_py()).tobytes() for k, text in zip(batch.column(0), batch.column(2), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(picked, pa.binary())], names=["key", "lang", "windows"])
+
+    texts = usable.select(key, "lang", "text").join(F.broadcast(sample), "key", "left_semi")
+    # Rows of one key are equal, so which of them stays is of no effect.
+    rows = sorted(texts.mapInArrow(scan, "key long, lang string, windows binary").dropDuplicates(["key"]).collect(), key=lambda r: r["key"])
+    cut = [np.frombuffer(r["windows"], np.uint8).reshape(-1, WINDOW) for r in rows]
+    return train(np.concatenate(cut), [r["lang"] for r, windows in zip(rows, cut, strict=True) for _ in windows])
 
 
 def language_id(docs: DataFrame, net: Network | None = None) -> DataFrame:

@@ -326,6 +326,15 @@ def test_language_id(spark):
 
 
 @pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01/documents.parquet"), reason="needs the test tables")
+def test_language_id_windows():
+    """Windows cover a text wholly if they are enough; of a long text only as many as asked for are made."""
+    data = np.frombuffer(bytes(range(97, 123)) * 40, np.uint8)
+    cut = language_id.some_windows(data, 100, 5)
+    assert sorted(bytes(r) for r in cut) == sorted(bytes(data[i : i + 192]).ljust(192) for i in range(0, len(data), 192))
+    assert language_id.some_windows(np.tile(data, 1000), 2, 5).shape == (2, 192)
+    assert bytes(language_id.some_windows(np.zeros(0, np.uint8), 2, 5)[0]) == b" " * 192
+
+
 def test_language_id_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     judged = language_id.language_id(docs).where("held_out and lang_pred <> 'und'").join(docs.where("lang is not null").select("doc_id", "lang"), "doc_id")
