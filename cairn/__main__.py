@@ -6,36 +6,50 @@ import argparse
 import sys
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.paths import basename
-from .operators import catalog, groups, hashing
-from .plans import apply, export, moves
+from .operators import catalog, fingerprints, groups, hashing
+from .plans import apply, categories, export, moves
 from .plans.doctor import doctor
 from .session import local_session
 from .sources.files import decisions, file_tree
+from .sources.images import image_prints
+from .sources.media_tools import media_prints
 
 
 def _catalog(spark: SparkSession, store: str) -> DataFrame:
     return spark.read.parquet(f"{store}/catalog")
 
 
-def _rows(spark: SparkSession, store: str) -> DataFrame:
-    files = _catalog(spark, store)
-    names = groups.name_conflicts(files.withColumn("key", groups.content_key(F.col("full_hash"), F.col("path"))))
-    names = names.join(files.select("path", "size", "mtime"), "path").withColumnRenamed("lower_name", "group_id")
-    junk = spark.read.parquet(f"{store}/junk")
-    return export.all_rows({"dup": groups.exact_duplicates(files), "name": names, "junk": junk})
+def _rows(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
+    """Export rows of all categories that the last scan allows."""
+    files = _catalog(spark, args.store)
+    parts = categories.by_name(files) | {"junk": spark.read.parquet(f"{args.store}/junk")}
+    if args.fingerprints:
+        parts |= categories.by_fingerprint(files, spark.read.parquet(f"{args.store}/prints"), args.loose_images)
+        parts |= categories.unpacked(files, spark.read.parquet(f"{args.store}/entries"))
+    return export.all_rows(parts)
+
+
+def _plain(path: str = "path") -> Column:
+    """A path without the scheme of local files."""
+    return F.regexp_replace(path, "^file:/+", "/")
 
 
 def scan(spark: SparkSession, args: argparse.Namespace) -> int:
     """Catalog, junk and hashes; the old catalog stays until the new one is whole."""
-    listed = file_tree(spark, args.roots).withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
+    listed = file_tree(spark, args.roots).withColumn("path", _plain())
     split = catalog.split_junk(catalog.outside_quarantine(listed, args.quarantine))
     kept = catalog.at_least(catalog.exclude(split.where("not junk").drop("junk")), args.min_size)
     hashed = hashing.staged_hashes(kept).drop("content")
     hashed.withColumn("name", basename(F.col("path"))).write.mode("overwrite").parquet(f"{args.store}/catalog.new")
+    if args.fingerprints:
+        images = image_prints(spark, args.roots).withColumn("path", _plain())
+        made = fingerprints.fingerprints(kept, images, media_prints(fingerprints.routed(kept)))
+        made.write.mode("overwrite").parquet(f"{args.store}/prints")
+        fingerprints.entries(kept).write.mode("overwrite").parquet(f"{args.store}/entries")
     split.where("junk").select("path", "name", "size", "mtime").write.mode("overwrite").parquet(f"{args.store}/junk")
     spark.read.parquet(f"{args.store}/catalog.new").write.mode("overwrite").parquet(f"{args.store}/catalog")
     print(f"{_catalog(spark, args.store).count()} files")
@@ -44,14 +58,14 @@ def scan(spark: SparkSession, args: argparse.Namespace) -> int:
 
 def report(spark: SparkSession, args: argparse.Namespace) -> int:
     """An HTML page of the first rows."""
-    page = [r.asDict() for r in _rows(spark, args.store).orderBy("category", "group", "path").limit(args.rows).collect()]
+    page = [r.asDict() for r in _rows(spark, args).orderBy("category", "group", "path").limit(args.rows).collect()]
     with open(args.out, "w", encoding="utf-8") as out:
         out.write(export.html_report(page, "cairn"))
     return 0
 
 
 def write(spark: SparkSession, args: argparse.Namespace) -> int:
-    rows = _rows(spark, args.store)
+    rows = _rows(spark, args)
     if args.format == "csv":
         n = export.write_csv_file(rows, args.out)
     else:
@@ -88,6 +102,11 @@ def probe(spark: SparkSession, args: argparse.Namespace) -> int:
     return 0
 
 
+def _print_options(command: argparse.ArgumentParser) -> None:
+    command.add_argument("--fingerprints", action="store_true", help="also the categories by fingerprint; the scan must have made them")
+    command.add_argument("--loose-images", action="store_true", help="group images by near prints, not by equal ones")
+
+
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="cairn", description="Catalog files, find what is redundant, move it reversibly.")
     out.add_argument("--store", default="cairn-store", help="folder of catalogs and manifests")
@@ -96,14 +115,17 @@ def parser() -> argparse.ArgumentParser:
     one = commands.add_parser("scan", help="list and hash the files below the roots")
     one.add_argument("roots", nargs="+")
     one.add_argument("--min-size", type=int, default=catalog.fixed.MIN_SIZE_BYTES)
+    one.add_argument("--fingerprints", action="store_true", help="also read texts, archives, images, videos and audio")
     one.set_defaults(run=scan)
     one = commands.add_parser("report", help="HTML page")
     one.add_argument("--out", default="cairn-report.html")
     one.add_argument("--rows", type=int, default=5000)
+    _print_options(one)
     one.set_defaults(run=report)
     one = commands.add_parser("export", help="all categories as csv or json")
     one.add_argument("--format", choices=("csv", "json"), default="csv")
     one.add_argument("--out", required=True)
+    _print_options(one)
     one.set_defaults(run=write)
     one = commands.add_parser("apply", help="move files; a dry run unless --apply")
     one.add_argument("--apply", action="store_true")

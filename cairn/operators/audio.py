@@ -29,8 +29,11 @@ def audio_clusters(prints: DataFrame, ber: float = fixed.AUDIO_BER, local: int =
     edges.append(short.join(firsts, "hex").where("a <> id").select("tag", "a", F.col("id").alias("b")))
     for tag, threshold in (("lc", local), ("legacy", legacy)):
         numbers = tagged.where(F.col("tag") == tag).where(F.col("hex").rlike("^[0-9a-f]+$"))
+        longest = numbers.agg(F.max(F.length("hex"))).first()[0]
+        if longest is None:
+            continue
         # Numbers of one width, in whole words: leading zeros change no distance.
-        digits = -(-(numbers.agg(F.max(F.length("hex"))).first()[0] or 16) // 16) * 16
+        digits = -(-longest // 16) * 16
         words = numbers.select("id", bits.hex_words(F.lpad("hex", digits, "0")).alias("words"))
         edges.append(bits.hamming_pairs(words, threshold).select(F.lit(tag).alias("tag"), "a", "b"))
     every = edges[0]

@@ -66,7 +66,7 @@ def _patterns(bounds: list[int], radius: int) -> Column:
 
 
 def _near(piece: int, value: Column, masks: list[int]) -> Column:
-    return F.transform(F.array(*[F.lit(x).cast("long") for x in masks]), lambda x: F.xxhash64(F.lit(piece), value.bitwiseXOR(x)))
+    return F.transform(F.expr(f"array({', '.join(f'{x}L' for x in masks)})"), lambda x: F.xxhash64(F.lit(piece), value.bitwiseXOR(x)))
 
 
 def _bits(words: str, start: int, stop: int) -> Column:

@@ -34,23 +34,31 @@ def routed(files: DataFrame, media: bool = True) -> DataFrame:
     return out if media else out.where("not heavy")
 
 
-def fingerprints(files: DataFrame, images: DataFrame | None = None) -> DataFrame:
-    """path, size, mtime, img, txt, txtmin, zipf for files(path, ext, size, mtime, content) with a format that has any.
+def fingerprints(files: DataFrame, images: DataFrame | None = None, media: DataFrame | None = None) -> DataFrame:
+    """path, size, mtime, img, vid, aud, txt, txtmin, zipf for files(path, ext, size, mtime, content) with a format that has any.
 
     Texts and archives are read in one pass over their content. ``images`` may
-    bring path, img of decoded images. What cannot be read stays null.
+    bring path, img of decoded images, ``media`` path, vid, aud of decoded
+    videos and audio. What cannot be read stays null.
     """
     ship(files.sparkSession)
-    from ..sources.files import sevenzip_entries, zip_entries
-
     known = routed(files)
     texts = known.where(F.col("route") == TEXT).select("path", textnorm.normalize(textnorm.extract_text("content", "ext")).alias("normal"))
     signed = similar.signatures(texts.where("normal is not null")).withColumnRenamed("sig", "txtmin")
     texts = texts.select("path", textnorm.text_hash(F.col("normal")).alias("txt")).join(signed, "path", "left")
-    entries = F.when(F.col("ext").isin(*fixed.SEVENZIP_EXTS), sevenzip_entries("content")).otherwise(zip_entries("content"))
-    packed = known.where(F.col("route") == ARCHIVE).select("path", F.explode(entries).alias("e")).select(F.col("path").alias("archive"), "e.*")
-    packed = manifest_hashes(packed).select(F.col("archive").alias("path"), F.col("manifest").alias("zipf"))
-    out = known.select("path", "size", "mtime", "route").join(texts, "path", "left").join(packed, "path", "left")
-    if images is None:
-        return out.withColumn("img", F.lit(None).cast("array<bigint>")).select("path", "size", "mtime", "img", "txt", "txtmin", "zipf")
-    return out.join(images.select("path", "img"), "path", "left").select("path", "size", "mtime", "img", "txt", "txtmin", "zipf")
+    packed = manifest_hashes(entries(files)).select(F.col("archive").alias("path"), F.col("manifest").alias("zipf"))
+    out = known.select("path", "size", "mtime").join(texts, "path", "left").join(packed, "path", "left")
+    for more, kinds in ((images, {"img": "array<bigint>"}), (media, {"vid": "string", "aud": "string"})):
+        if more is None:
+            out = out.withColumns({name: F.lit(None).cast(kind) for name, kind in kinds.items()})
+        else:
+            out = out.join(more.select("path", *kinds), "path", "left")
+    return out.select("path", "size", "mtime", "img", "vid", "aud", "txt", "txtmin", "zipf")
+
+
+def entries(files: DataFrame) -> DataFrame:
+    """archive, name, size, crc of the entries of all archives among files(path, ext, content)."""
+    from ..sources.files import sevenzip_entries, zip_entries
+
+    listed = F.when(F.col("ext").isin(*fixed.SEVENZIP_EXTS), sevenzip_entries("content")).otherwise(zip_entries("content"))
+    return routed(files).where(F.col("route") == ARCHIVE).select(F.col("path").alias("archive"), F.explode(listed).alias("e")).select("archive", "e.*")

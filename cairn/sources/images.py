@@ -8,10 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.fixed import IMAGE_EXTS
 from ..operators.media import pixel_hash
 from ..session import ship
 
 
+#: Names of image files, in either case: other files are not read as images.
+NAMES = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in ext[1:]) for ext in IMAGE_EXTS) + "}"
+
+
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def gray(data: pd.Series, channels: pd.Series) -> pd.Series:
     """Luma of pixels in blue, green, red (and alpha) order; one channel stays as it is."""
@@ -27,7 +32,7 @@ def gray(data: pd.Series, channels: pd.Series) -> pd.Series:
 
 def image_pixels(spark: SparkSession, roots: list[str]) -> DataFrame:
     """path, pixels (gray), height, width of PNG, JPEG, GIF and BMP files below the roots; what cannot be decoded is left out."""
-    raw = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(roots).select("image.*")
+    raw = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", NAMES).load(roots).select("image.*")
     return raw.select(F.col("origin").alias("path"), gray("data", "nChannels").alias("pixels"), "height", "width")
 
 

@@ -5,6 +5,7 @@ import hashlib
 import io
 import itertools
 import json
+import os
 import random
 import struct
 import zipfile
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from cairn.__main__ import main
 from cairn.functions.ranks import numbered
 from cairn.operators import audio, bits, catalog, errors, fingerprints, media, similar
-from cairn.plans import apply, export
+from cairn.plans import apply, categories, export
 from cairn.sources import files as sources
 from cairn.sources import images, media_tools
 
@@ -215,6 +216,34 @@ def test_command_line(spark, tmp_path, capsys):
     assert main([*base, "doctor"], spark) == 0
 
 
+def test_command_line_with_fingerprints(spark, tmp_path):
+    """Every category by fingerprint that the container can read, by planted groups."""
+    root, words = tmp_path / "root", " ".join(f"word{i}" for i in range(80))
+    picture = [[(7 * x * x + 3 * y) % 251 for x in range(32)] for y in range(36)]
+    nearly = [[min(255, v + 1) for v in row] for row in picture]
+    other = np.random.default_rng(1).integers(0, 256, (36, 32)).tolist()
+    contents = {
+        "t/a.txt": words.encode(), "t/b.md": words.replace(" ", "  ").encode(), "t/c.txt": (words + " more").encode(), "t/alone.txt": b"quite another text of its own",
+        "i/a.png": png(picture), "i/b.PNG": png(nearly), "i/c.png": png(other), "z/a.zip": packed(x="one", y="two"), "z/b.zip": packed(y="two", x="one"), "z/c.zip": packed(d__gone="1"),
+        "z/x": b"one", "Z/y": b"two", "v/report_v1.pdf": b"1 new", "v/report_v2.pdf": b"2 old", "v/film.mp4": b"no film",
+    }
+    for age, (name, data) in enumerate(contents.items()):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(data)
+        os.utime(root / name, (1_700_000_000 - age * 100,) * 2)
+    base = ["--store", str(tmp_path / "store"), "--quarantine", str(tmp_path / "q")]
+    assert main([*base, "scan", str(root), "--min-size", "0", "--fingerprints"], spark) == 0
+    assert main([*base, "export", "--format", "json", "--out", str(tmp_path / "out.json"), "--fingerprints"], spark) == 0
+    made = {c["key"]: c for c in json.loads((tmp_path / "out.json").read_text())["categories"]}
+    found = {key: {name for name in contents if str(root / name) in json.dumps(c["groups"])} for key, c in made.items()}
+    assert found["doc"] == {"t/a.txt", "t/b.md"} and found["docnear"] == {"t/a.txt", "t/b.md", "t/c.txt"} and found["zip"] == {"z/a.zip", "z/b.zip"} == found["archloose"]
+    assert found["image"] == {"i/a.png", "i/b.PNG"} and found["ver"] == {"v/report_v1.pdf", "v/report_v2.pdf"}
+    assert not any(found[key] for key in ("dup", "name", "video", "audio", "junk", "empty"))
+    loose = categories.by_fingerprint(spark.read.parquet(f"{tmp_path}/store/catalog"), spark.read.parquet(f"{tmp_path}/store/prints"), loose_images=True)
+    assert sorted((r.path.rsplit("/", 1)[1], r.role) for r in loose["image"].collect()) == [("a.png", "move"), ("b.PNG", "keep")]
+    assert main([*base, "report", "--out", str(tmp_path / "r.html"), "--fingerprints", "--loose-images"], spark) == 0
+
+
 def test_audio_kinds_never_meet(spark):
     run = lambda *flips: np.array([i * 2654435761 % 2**32 ^ (1 if i in flips else 0) for i in range(20)], "<u4").tobytes().hex()
     prints = [
