@@ -35,7 +35,7 @@ def vectors(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["hamming_pairs"])
+@pytest.mark.parametrize("name", ["hamming_pairs", "video_pairs"])
 def test_copies_are_in_all_pairs_of_their_print(spark, vectors, name):
     pairs = against_sql(spark, vectors, name, "embeddings")
     heads = {a for a, b, d in pairs if d == 0} - {b for a, b, d in pairs if d == 0}
