@@ -144,6 +144,43 @@ def _pieces(size: int, threshold: int, count: int) -> tuple[list[int], tuple[int
     return [size * i // m for i in range(m + 1)], (radius - radius // 2, radius // 2), cost(m)
 
 
+def extremes(prints: DataFrame) -> DataFrame:
+    """One row: max_intra, the largest distance of two ids of one label, and min_inter, the least of two labels, for prints(id, words, label) of equal width.
+
+    All pairs count. Prints of one content and label are collapsed; what is
+    left is compared in blocks, of which each gives one row.
+    """
+    heads = prints.where(f"{WHOLE} and label is not null and id is not null").groupBy("words", "label").agg(F.min("id").alias("id"), F.max("id").alias("last"))
+    heads = materialize(heads.withColumn("code", F.xxhash64("label")), "labelled")
+    count = heads.count()
+
+    def compare(x: pa.StructArray, y: pa.StructArray, own: bool) -> Iterator[pa.RecordBatch]:
+        intra, inter = -1, 1 << 30
+        (ids, last, codes, words), (other_ids, other_last, other_codes, other_words) = x.flatten(), y.flatten()
+        codes, order = codes.to_numpy(), np.argsort(other_codes.to_numpy(), kind="stable")
+        words, others = (np.ascontiguousarray(matrix(w).view(np.uint64).T) for w in (words, other_words))
+        others, other_codes = np.ascontiguousarray(others[:, order]), other_codes.to_numpy()[order]
+        # Rows of one id only, for a pair needs two: in this order, by their ids.
+        single = {}
+        for at, (first, end) in enumerate(zip(other_ids.take(pa.array(order)).to_pylist(), other_last.take(pa.array(order)).to_pylist(), strict=True)):
+            if first == end:
+                single.setdefault(first, []).append(at)
+        starts, ends = np.searchsorted(other_codes, codes, "left"), np.searchsorted(other_codes, codes, "right")
+        for i, (first, end) in enumerate(zip(ids.to_pylist(), last.to_pylist(), strict=True)):
+            away = distances(words[:, i], others).astype(np.int32)
+            alike, apart = away, away
+            if first == end and first in single:
+                alike, apart = away.copy(), away.copy()
+                alike[single[first]], apart[single[first]] = -1, 1 << 30
+            start, stop = starts[i], ends[i]
+            intra = max(intra, alike[start:stop].max(initial=-1))
+            inter = min(inter, apart[:start].min(initial=1 << 30), apart[stop:].min(initial=1 << 30))
+        yield pa.RecordBatch.from_arrays([pa.array([int(intra)], pa.int32()), pa.array([int(inter)], pa.int32())], names=["intra", "inter"])
+
+    found = block_pairs(heads.select("id", F.size("words").alias("tag"), "last", "code", "words"), count, BLOCK, compare, "intra int, inter int")
+    return found.agg(F.max(F.when(F.col("intra") >= 0, F.col("intra"))).alias("max_intra"), F.min(F.when(F.col("inter") < 1 << 30, F.col("inter"))).alias("min_inter"))
+
+
 def _patterns(bounds: list[int], radius: int) -> Column:
     """Hashes of (piece, pattern) for all patterns within the radius of each piece of ``words``."""
     out = []

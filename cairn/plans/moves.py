@@ -47,7 +47,12 @@ def purge_preview(files: DataFrame, root: str, as_of: float, days: int) -> DataF
 def calibration(pairs: DataFrame) -> DataFrame:
     """max_intra, min_inter, threshold (their middle) from pairs(distance, same)."""
     out = pairs.agg(F.max(F.when(F.col("same"), F.col("distance"))).alias("max_intra"), F.min(F.when(~F.col("same"), F.col("distance"))).alias("min_inter"))
-    return out.withColumn("threshold", (F.col("max_intra") + F.col("min_inter")) / 2)
+    return middle(out)
+
+
+def middle(extremes: DataFrame) -> DataFrame:
+    """Adds ``threshold``, the middle of max_intra and min_inter."""
+    return extremes.withColumn("threshold", (F.col("max_intra") + F.col("min_inter")) / 2)
 
 
 def by_folder(plan: DataFrame) -> DataFrame:

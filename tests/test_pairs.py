@@ -42,6 +42,20 @@ def test_copies_are_in_all_pairs_of_their_print(spark, vectors, name):
     assert any(d and a not in heads and b not in heads for a, b, d in pairs)
 
 
+def test_calibration_sees_pairs_at_any_distance(spark, vectors):
+    ((most, least, middle),) = against_sql(spark, vectors, "calibration_threshold", "embeddings")
+    assert most > 16 and least == 0 and middle == most / 2
+
+
+def test_extremes_are_of_two_ids(spark):
+    rows = [(1, [0], "x"), (2, [3], "x"), (3, [15], "y"), (4, [-1], None), (3, [15], "x")]
+    prints = spark.createDataFrame(rows, "id long, words array<long>, label string")
+    assert tuple(bits.extremes(prints).first()) == (4, 2)
+    assert tuple(bits.extremes(prints.where("id = 3")).first()) == (None, None)
+    assert tuple(bits.extremes(prints.where("id > 4")).first()) == (None, None)
+    assert tuple(bits.extremes(spark.createDataFrame([(1, [7], "x"), (2, [7], "x")], prints.schema)).first()) == (0, None)
+
+
 @pytest.mark.parametrize(("width", "threshold"), [(1, 6), (1, 14), (5, 40)])
 def test_patterns_and_blocks_find_the_same(spark, monkeypatch, width, threshold):
     monkeypatch.setattr(bits, "BLOCK", 16)
