@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from cairn import queries
-from cairn.operators import bits, blocks
+from cairn.operators import bits, blocks, sequences
 
 
 def signed(x):
@@ -74,3 +74,49 @@ def test_large_classes_are_expanded_by_chunks(spark, monkeypatch):
     rows = [(f"{i:02}", [0 if i < 9 else 1 if i < 13 else i]) for i in range(16)]
     got = sorted(map(tuple, bits.all_hamming_pairs(spark.createDataFrame(rows, "id string, words array<long>"), 1).collect()))
     assert got == [(a, b, (v[0] ^ w[0]).bit_count()) for (a, v), (b, w) in itertools.combinations(rows, 2) if (v[0] ^ w[0]).bit_count() <= 1]
+
+
+@pytest.fixture(scope="module")
+def events(spark, tmp_path_factory):
+    """Events of users: 25, 35 and 45 have those of user 5, users 3 and 13 too few to compare, and some values are null."""
+    rng, folder = random.Random(8), tmp_path_factory.mktemp("events")
+    values = {u: [round(rng.random() * 200, 2) for _ in range(rng.randint(9, 40))] for u in range(1, 50)}
+    values |= {u: values[5] for u in (25, 35, 45)} | {u: [1.0] * 6 for u in (3, 13)}
+    values[7][2] = values[10][4] = values[20][0] = None
+    rows = [(100 * u + i, u, v) for u, own in values.items() for i, v in enumerate(own)]
+    spark.createDataFrame(rows, "event_id long, user_id long, value double").write.parquet(f"{folder}/events.parquet")
+    return folder
+
+
+def test_copies_of_sequences_are_in_all_pairs(spark, events):
+    pairs = against_sql(spark, events, "ber_pairs", "events")
+    heads = {a for a, b, ber in pairs if ber == 0} - {b for a, b, ber in pairs if ber == 0}
+    assert any(ber and a not in heads and b not in heads for a, b, ber in pairs)
+    assert {a for a, _ in against_sql(spark, events, "ber_clusters", "events")} == {i for a, b, _ in pairs for i in (a, b)}
+
+
+def test_sequences_meet_in_blocks(spark, monkeypatch):
+    """Lengths from 7 to 60, neighbours just within and beyond the rate, at all shifts, in blocks and parts smaller than the data."""
+    for name, value in (("BLOCK", 16), ("ROWS", 4), ("COLUMNS", 8)):
+        monkeypatch.setattr(sequences, name, value)
+    rng = random.Random(3)
+    words = [[rng.getrandbits(32) for _ in range(n)] for n in (7, 8, 9, 12, 20, 21, 40, 60)]
+    for w in [*words]:
+        for cut, share in ((0, 0.09), (1, 0.099), (2, 0.101), (1, 0.12), (3, 0.0)):
+            near = w[cut:]
+            for bit in rng.sample(range(32 * len(near)), int(32 * len(near) * share)):
+                near[bit // 32] ^= 1 << bit % 32
+            words.append(near)
+
+    def rate(x, y):
+        rates = [1.0]
+        for shift in sequences.SHIFTS:
+            m = min(len(x), len(y)) - abs(shift)
+            if m >= 8:
+                rates.append(sum((x[i + max(shift, 0)] ^ y[i + max(-shift, 0)]).bit_count() for i in range(m)) / (m * 32))
+        return min(rates)
+
+    data = [(f"{i:03}", ("cp", "lc")[i % 2], w) for i, w in enumerate(words)]
+    got = sorted(map(tuple, sequences.all_ber_pairs(spark.createDataFrame(data, "id string, tag string, words array<long>"), 0.1).collect()))
+    want = [(a, b, rate(x, y)) for (a, s, x), (b, t, y) in itertools.combinations(data, 2) if s == t and rate(x, y) <= 0.1]
+    assert got == want and len({r for *_, r in want}) > 5
