@@ -39,3 +39,18 @@ def test_collapse_looks_at_a_text_once(spark):
     texts = spark.createDataFrame(rows, "text string").select(textnorm.collapse(F.col("text")).alias("normal"))
     assert [r.normal for r in texts.collect()] == ["a b", "x", None, None, None, "한 글"]
     assert texts._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8])
+def test_exact_pairs_where_most_shingles_are_of_one_file(spark, threshold):
+    """Shingles of one file are counted in the order of the rarest, and are posted nowhere."""
+    rng = random.Random(6)
+    texts = [" ".join([f"{i % 4}w{k}" for k in range(rng.randint(6, 40))] + [f"own{i}x{k}" for k in range(rng.randint(0, 25))]) for i in range(50)]
+    texts += texts[:3]
+    sets = [frozenset(tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)) for t in texts]
+    heads = {s: i for i, s in reversed(list(enumerate(sets)))}
+    want = {(i, j, len(s & t), len(s | t)) for s, i in heads.items() for t, j in heads.items() if i < j and len(s & t) >= threshold * len(s | t)}
+    want |= {(heads[s], i, len(s), len(s)) for i, s in enumerate(sets) if heads[s] != i}
+    files = spark.createDataFrame(list(enumerate(texts)), "path int, normal string")
+    assert {tuple(r) for r in similar.exact_pairs(files, threshold).collect()} == want and len(want) >= 3
+    assert len({bytes(r.key) for r in similar.shingle_sets(files).collect()}) == len(heads)
