@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 from ..functions.fixed import EXPORT_COLUMNS
 from ..functions.paths import basename, dirname, human_size, iso_time
 from ..functions.ranks import numbered
+from ..session import materialize
 
 
 def flat_rows(groups: DataFrame, category: str, title: str) -> DataFrame:
     """The ten export columns from groups(group_id, path, size, mtime, role); groups are numbered by group_id."""
+    # Both the numbers and the rows read the groups, which are far fewer than what they were found in.
+    groups = materialize(groups.select("group_id", "path", "size", "mtime", "role"), "groups")
     keys = numbered(groups.select("group_id").distinct(), "group_id", "group")
     return _export_row(groups.join(keys, "group_id"), category, title)
 

@@ -54,3 +54,10 @@ def test_exact_pairs_where_most_shingles_are_of_one_file(spark, threshold):
     files = spark.createDataFrame(list(enumerate(texts)), "path int, normal string")
     assert {tuple(r) for r in similar.exact_pairs(files, threshold).collect()} == want and len(want) >= 3
     assert len({bytes(r.key) for r in similar.shingle_sets(files).collect()}) == len(heads)
+
+
+def test_export_rows_are_read_from_the_groups(spark):
+    """The groups are found once, not for their numbers and again for their rows."""
+    from cairn import queries
+
+    assert not any("documents" in f for f in queries.QUERIES["flat_rows"](spark, "/root/testdata/sf0.001").inputFiles())
