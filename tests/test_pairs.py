@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from cairn import queries
-from cairn.operators import bits, blocks, sequences
+from cairn.operators import bits, blocks, components, sequences
 
 
 def signed(x):
@@ -120,3 +120,10 @@ def test_sequences_meet_in_blocks(spark, monkeypatch):
     got = sorted(map(tuple, sequences.all_ber_pairs(spark.createDataFrame(data, "id string, tag string, words array<long>"), 0.1).collect()))
     want = [(a, b, rate(x, y)) for (a, s, x), (b, t, y) in itertools.combinations(data, 2) if s == t and rate(x, y) <= 0.1]
     assert got == want and len({r for *_, r in want}) > 5
+
+
+def test_clusters_need_no_pairs_of_copies(spark, vectors):
+    """What stats_counters counts: the components of collapsed pairs are those of all pairs."""
+    prints = queries._video_prints(spark, str(vectors))
+    every = components.connected_components(queries.video_pairs(spark, str(vectors)))
+    assert sorted(map(tuple, bits.clusters(prints, 40).collect())) == sorted(map(tuple, every.collect()))
